@@ -52,3 +52,29 @@ def heavy_keys(counts: DataFrame, key: str, n: str, one_in: int) -> DataFrame:
     """
     total = counts.agg(F.sum(n).alias("total"))
     return counts.where(F.col(n) * F.lit(one_in) >= total.scalar()).select(key)
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], counts: DataFrame, n: str, per_slice: int = 1_000_000) -> DataFrame:
+    """Left join of left with right, which has at most one row per key, on null-safe keys.
+
+    counts: (on, n), the rows of left per key. A key with more than per_slice rows in left
+    is cut into n / per_slice slices, and its row of right is repeated once per slice; so no
+    task gets more than about per_slice rows of one key. The list of such keys has at most
+    rows / per_slice entries (1,000 for a billion rows), which bounds what is broadcast.
+    """
+    heavy = counts.where(F.col(n) > per_slice).select(*[F.col(c).alias(f"_h_{c}") for c in on], F.ceil(F.col(n) / per_slice).cast("int").alias("_slices"))
+    right = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
+
+    def match(prefix: str, side: DataFrame, key_prefix: str = ""):
+        cond = None
+        for c in on:
+            one = side[f"{key_prefix}{c}"].eqNullSafe(F.col(f"{prefix}{c}"))
+            cond = one if cond is None else cond & one
+        return cond
+
+    sliced = left.join(F.broadcast(heavy), match("_h_", left), "left").withColumn("_slice", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_slices")).cast("int"), F.lit(0)))
+    spread = right.join(F.broadcast(heavy), match("_h_", right, "_r_"), "left").withColumn("_slice_r", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_slices") - 1, F.lit(0)))))
+    sliced = sliced.drop("_slices", *[f"_h_{c}" for c in on])
+    spread = spread.drop("_slices", *[f"_h_{c}" for c in on])
+    joined = sliced.join(spread, match("_r_", sliced) & (F.col("_slice") == F.col("_slice_r")), "left")
+    return joined.drop("_slice", "_slice_r", *[f"_r_{c}" for c in on])
