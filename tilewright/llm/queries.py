@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tilewright.llm.bpe import count_tokens, encode_texts
 from tilewright.llm.components import connected_groups
+from tilewright.llm.packing import pack_items
 from tilewright.llm.sql import ORACLE
 from tilewright.llm.topn import top_items
 from tilewright.tables import table
 
 __all__ = ["ORACLE", "QUERIES"]
 
+#: Where the files of the public tokenizers lie.
+TOKENIZERS = "/opt/tokenizers"
+BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+
 
 def target_id(c):
     """The id in a FASTA header or what remains of one; null if nothing is left."""
@@ -34,4 +40,13 @@ def p5_best_hit(spark, d):
     return best.select("probe_id", "hit_mode", F.col("homology_pct").alias("max_homology_pct"), F.col("target_id").alias("best_hit"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_best_hit)}
+def p6_ids(spark, d):
+    return encode_texts(table(spark, d, "documents"), BPE)
+
+
+def p7_containers(spark, d):
+    packed = pack_items(count_tokens(table(spark, d, "documents"), BPE), capacity=2048)
+    return packed.select("container_id", "doc_id", "piece_no", F.col("piece_start").alias("token_start"), F.col("piece_size").alias("n_tokens"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_best_hit, p6_ids, p7_containers)}
