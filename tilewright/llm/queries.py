@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.bpe import count_tokens, encode_texts
 from tilewright.llm.components import connected_groups
+from tilewright.llm.mojibake import find_garbled
 from tilewright.llm.packing import pack_items
 from tilewright.llm.sql import ORACLE
 from tilewright.llm.topn import top_items
@@ -49,4 +50,12 @@ def p7_containers(spark, d):
     return packed.select("container_id", "doc_id", "piece_no", F.col("piece_start").alias("token_start"), F.col("piece_size").alias("n_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_best_hit, p6_ids, p7_containers)}
+def p8_found(spark, d):
+    return find_garbled(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_restored(spark, d):
+    return find_garbled(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_best_hit, p6_ids, p7_containers, p8_found, p8_restored)}
