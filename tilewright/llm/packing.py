@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilewright.scratch import materialize, shuffle_width
 
@@ -193,7 +194,7 @@ def pack_items(sizes: DataFrame, item: str = "doc_id", size: str = "n_tokens", c
     large_plan, containers = plan_large(s[~low], n[~low], n_small, capacity, groups)
     lo, base, times = (large_plan[c].to_numpy() for c in ("lo", "base", "times"))
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(T.LongType())
     def container_of(rank: pd.Series) -> pd.Series:
         k = np.searchsorted(lo, rank.to_numpy(), side="right") - 1
         return pd.Series(base[k] + (rank.to_numpy() - lo[k]) % times[k])
@@ -211,7 +212,7 @@ def pack_items(sizes: DataFrame, item: str = "doc_id", size: str = "n_tokens", c
     fresh = (small_plan["room"] < 0).to_numpy()
     begin = np.array([0 if r < 0 else first[r] for r in small_plan["room"].tolist()], np.int64)
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(T.LongType())
     def place_of(rank: pd.Series) -> pd.Series:
         k = np.searchsorted(slo, rank.to_numpy(), side="right") - 1
         step = at[k] + rank.to_numpy() - slo[k]
