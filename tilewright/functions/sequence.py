@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def col(c: Column | str) -> Column:
@@ -43,12 +48,23 @@ def n_fraction(seq: Column | str) -> Column:
     return _share(F.length(col(seq)) - _count(seq, "ACGTacgt"), F.length(col(seq)))
 
 
+def _distance(a: str | None, b: str | None) -> int | None:
+    if a is None or b is None:
+        return None
+    n = min(len(a), len(b))
+    x, y = (np.frombuffer(t[:n].upper().encode("ascii", "replace"), np.uint8) for t in (a, b))
+    return int(n - np.count_nonzero((x == y) & (x != ord("N"))))
+
+
+@F.pandas_udf(T.IntegerType())
+def _hamming_n(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in batches:
+        yield pd.Series([_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+
 def hamming_n(a: Column | str, b: Column | str) -> Column:
     """Mismatches over the shorter length; an N on either side always is one."""
-    a, b = F.upper(col(a)), F.upper(col(b))
-    n = F.least(F.length(a), F.length(b))
-    differs = lambda acc, i: acc + F.when((F.substring(a, i, 1) == F.substring(b, i, 1)) & (F.substring(a, i, 1) != "N"), 0).otherwise(1)
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), differs)).otherwise(F.when(n.isNotNull(), F.lit(0)))
+    return _hamming_n(col(a), col(b))
 
 
 def fix_n(seq: Column | str) -> Column:
