@@ -71,3 +71,18 @@ def running_totals(df: DataFrame, key: str, at: str, value: str, partitions: int
         F.when(cut, F.col("carry_at")).otherwise(F.col("prev_at")).alias("prev_at"),
         F.when(cut, F.col("carry")).otherwise(F.when(edge, F.col("prev_total") + F.col("carry")).otherwise(F.col("prev_total"))).alias("prev_total"),
     )
+
+
+def global_rank(df: DataFrame, by: list[str], name: str = "ranked") -> DataFrame:
+    """df, written once in the global order of by, with its place in that order as rank, from 0.
+
+    Rows are range partitioned and sorted; the partitions' row counts, as many rows as
+    partitions, are summed up in order. Rows that are equal in by come in any order.
+    """
+    n = shuffle_width(df.sparkSession)
+    rows = materialize(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_mid", F.monotonically_increasing_id()), name)
+    pid = F.shiftright("_mid", 33)  # the partition, which the ids carry above their 33 low bits
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n")).select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    placed = rows.withColumn("_pid", pid).join(F.broadcast(parts), "_pid")
+    return placed.withColumn("rank", F.col("_offset") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))).drop("_pid", "_mid", "_offset")
