@@ -6,11 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.scratch import materialize, shuffle_width
+from tilewright.operators.running import global_rank
+from tilewright.scratch import materialize
 
 
 def _best_filling(value: np.ndarray, width: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -122,47 +123,35 @@ def plan_small(sizes: np.ndarray, counts: np.ndarray, free: dict[int, int], capa
     """
     cohorts: dict[int, list[tuple[int, int, int]]] = {r: [(r, 0, n)] for r, n in free.items() if r > 0 and n > 0}
     rows, end = [], np.cumsum(counts)
-    rest = int((sizes * counts).sum())
     for s, n, hi in zip(sizes[::-1].tolist(), counts[::-1].tolist(), end[::-1].tolist()):
         rank = hi - n
-        rooms = sorted(r for r, c in cohorts.items() if r >= s and c)
+        rooms = sorted((r for r, c in cohorts.items() if r >= s and c), reverse=True)
         while n:
-            while rooms and not cohorts.get(rooms[0]):
-                rooms.pop(0)
-            if not rooms:
-                opened = max(1, math.ceil(rest / capacity))
-                cohorts.setdefault(capacity, []).append((-1, base, opened))
-                base += opened
-                rooms = [capacity]
-            r = rooms[0]
-            room, at, size = cohorts[r].pop()
-            m = min(n, size)
-            rows.append((rank, rank + m, room, at))
-            rank, n, rest = rank + m, n - m, rest - m * s
-            if m < size:
-                cohorts[r].append((room, at + m, size - m))
-            cohorts.setdefault(r - s, []).append((room, at, m))
-            if r - s >= s and (r - s) not in rooms:
-                rooms = sorted([*rooms, r - s])
+            while rooms and not cohorts[rooms[-1]]:
+                rooms.pop()
+            if rooms:
+                r = rooms[-1]
+                room, at, size = cohorts[r].pop()
+            else:
+                r, room, at, size = capacity, -1, base, -(-n // (capacity // s))
+                base += size
+            # equal items fill the tightest container as far as they go, then the next
+            each = r // s
+            whole = min(size, n // each)
+            layers, wide = (each, whole) if whole else (n, 1)
+            for _ in range(layers):
+                rows.append((rank, rank + wide, room, at))
+                rank += wide
+            n -= layers * wide
+            if wide < size:
+                cohorts.setdefault(r, []).append((room, at + wide, size - wide))
+                if not rooms:
+                    rooms = [r]
+            cohorts.setdefault(r - layers * s, []).append((room, at, wide))
     return pd.DataFrame(rows, columns=["lo", "hi", "room", "at"]).sort_values("lo", ignore_index=True).astype(np.int64), base
 
 
-def _ranked(df: DataFrame, by: list[str], name: str) -> DataFrame:
-    """df written once in global order of by, with its place in that order as rank, from 0.
-
-    Rows are range partitioned and sorted; the partitions' row counts, as many rows as
-    partitions, are summed up in order.
-    """
-    n = shuffle_width(df.sparkSession)
-    rows = materialize(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("mid", F.monotonically_increasing_id()), name)
-    pid = F.shiftright("mid", 33)
-    before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy(pid.alias("pid")).agg(F.count(F.lit(1)).alias("n")).select("pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    placed = rows.withColumn("pid", pid).join(F.broadcast(parts), "pid")
-    return placed.withColumn("rank", F.col("offset") + F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))).drop("pid", "mid", "offset")
-
-
-def pack_items(sizes: DataFrame, item: str = "doc_id", size: str = "n_tokens", capacity: int = 2048, groups: int = 96, small: int = 256) -> DataFrame:
+def pack_items(sizes: DataFrame, item: str = "doc_id", size: str = "n_tokens", capacity: int = 2048, groups: int = 96, small: int | None = None) -> DataFrame:
     """(container_id, item, piece_no, piece_start, piece_size): every item in containers of capacity.
 
     An item no larger than the capacity lies whole in one container. A larger one gives as
@@ -171,7 +160,7 @@ def pack_items(sizes: DataFrame, item: str = "doc_id", size: str = "n_tokens", c
     with a null item are dropped; repeated rows are items of their own; other columns don't
     matter; an empty table gives an empty result.
 
-    Linear grouping: items above small, in order of size, are cut into groups of equal
+    Linear grouping: items above small (a third of the capacity), in order of size, are cut into groups of equal
     cardinality and rounded up to each group's largest; the linear programme over
     configurations of these few sizes is solved on the driver; the items themselves, by
     their rank, take the places planned for their group; and the small ones go best-fit into
@@ -179,13 +168,13 @@ def pack_items(sizes: DataFrame, item: str = "doc_id", size: str = "n_tokens", c
     only: at most capacity rows of sizes and of room left, whatever the data. Items and
     containers are ranked by range partitioning, and meet by rank.
     """
-    spark = sizes.sparkSession
+    small = capacity // 3 if small is None else small
     amount = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))
     rows = materialize(sizes.where(F.col(item).isNotNull()).select(F.col(item).alias("item"), amount.alias("size")), "sizes")
     over = F.col("size") > capacity
     whole = F.when(over, F.floor(F.col("size") / capacity)).otherwise(F.lit(0)).cast("long")
     rest = rows.select("item", whole.alias("piece_no"), (F.col("size") - whole * capacity).alias("s")).where("s > 0")
-    items = _ranked(rest, ["s", "item"], "items")
+    items = global_rank(rest, ["s", "item"], "items")
 
     hist = items.groupBy("s").agg(F.count(F.lit(1)).alias("n")).orderBy("s").toPandas()  # at most capacity rows
     s, n = hist["s"].to_numpy(np.int64), hist["n"].to_numpy(np.int64)
@@ -202,7 +191,7 @@ def pack_items(sizes: DataFrame, item: str = "doc_id", size: str = "n_tokens", c
     large = materialize(items.where(F.col("rank") >= n_small).select("item", "piece_no", "s", container_of("rank").alias("container_id")), "large")
 
     room = large.groupBy("container_id").agg((F.lit(capacity) - F.sum("s")).alias("room"))
-    room = _ranked(room, ["room", "container_id"], "room")
+    room = global_rank(room, ["room", "container_id"], "room")
     left = room.groupBy("room").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first")).toPandas()  # at most capacity rows
     first = dict(zip(left["room"].tolist(), left["first"].tolist()))
     used = containers  # all of these hold something
@@ -223,7 +212,7 @@ def pack_items(sizes: DataFrame, item: str = "doc_id", size: str = "n_tokens", c
     tiny = places.join(known, "place", "left").select("item", "piece_no", "s", F.coalesce("container_id", -1 - F.col("place")).alias("container_id"))
 
     full = rows.where(over).select("item", F.explode(F.sequence(F.lit(0), whole - 1)).alias("piece_no"))
-    full = _ranked(full, ["item", "piece_no"], "full").select("item", "piece_no", F.lit(capacity).cast("long").alias("s"), (F.col("rank") + containers).alias("container_id"))
+    full = global_rank(full, ["item", "piece_no"], "full").select("item", "piece_no", F.lit(capacity).cast("long").alias("s"), (F.col("rank") + containers).alias("container_id"))
     none = rows.where("size = 0").select("item", F.lit(0).cast("long").alias("piece_no"), F.lit(0).cast("long").alias("s"), F.pmod(F.xxhash64("item"), F.lit(max(1, used or containers))).alias("container_id"))
     packed = large.select("item", "piece_no", "s", "container_id").unionByName(tiny).unionByName(full).unionByName(none)
     return packed.select("container_id", F.col("item").alias(item), "piece_no", (F.col("piece_no") * capacity).alias("piece_start"), F.col("s").alias("piece_size"))
