@@ -30,6 +30,18 @@ def reads_per_reference(alns: DataFrame) -> DataFrame:
     return range_split_aggregate(read_mappings(alns), ["reference_id"], ["qname"], {"reads": F.count(F.lit(1))})
 
 
+def renamed_reads(names: DataFrame, alns: DataFrame) -> DataFrame:
+    """(qname, source_id): what each read is to be called after: the reference of its first primary alignment, else the source in its name, else its bare name.
+
+    names (qname); a mate's /1 or /2 is taken off before the lookup.
+    """
+    bare = lambda c: F.regexp_replace(c, "/[12]$", "")
+    flag = F.coalesce("flag", F.lit(0)).bitwiseAND(F.lit(SECONDARY | SUPPLEMENTARY))
+    first = alns.where((F.col("rname") != "*") & (flag == 0) & F.col("qname").isNotNull()).groupBy(bare("qname").alias("bare")).agg(F.min(F.struct("aln_id", "rname")).alias("f")).select("bare", F.col("f.rname").alias("mapped"))
+    own = names.select("qname").dropna().distinct().withColumn("bare", bare("qname"))
+    return own.join(first, "bare", "left").select("qname", F.coalesce("mapped", source_id("qname"), "bare").alias("source_id"))
+
+
 def mapped_read_ids(alns: DataFrame) -> DataFrame:
     """(qname): reads with any alignment on a reference, secondary ones too."""
     return alns.where(F.col("rname") != "*").select("qname").dropna().distinct()

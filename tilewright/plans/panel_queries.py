@@ -147,6 +147,34 @@ def g7_species_calls(spark, d):
     return Y.call_species(edges(spark, d), owners(spark, d), detected_targets(spark, d), min_unique=30)
 
 
+def j15_renamed_reads(spark, d):
+    return N.renamed_reads(alns(spark, d), alns(spark, d))
+
+
+def s9_groups_on_both_sides(spark, d):
+    known = N.with_groups(refs(spark, d))
+    targets = known.where(F.col("category").isin("sample", "nonsample_target")).select("group_name")
+    return targets.intersect(known.where("category = 'distractor'").select("group_name"))
+
+
+def s9_unlisted_references(spark, d):
+    """References that alignments name and the dictionary doesn't; a complete dictionary leaves none."""
+    return alns(spark, d).where("rname <> '*'").select(F.col("rname").alias("reference_id")).distinct().join(refs(spark, d), "reference_id", "left_anti")
+
+
+def s9_all_names(spark, d):
+    probes = table(spark, d, "probe_alns").select(F.col("target").alias("reference_id"))
+    return alns(spark, d).select(F.col("rname").alias("reference_id")).unionByName(probes).where("reference_id <> '*'").distinct()
+
+
+def j9_fragments_per_group(spark, d):
+    """Fragments of each target, summed over the sources that belong to its group."""
+    known = N.with_groups(refs(spark, d))
+    sources = a4_count_per_source(spark, d).withColumnRenamed("source_id", "reference_id").join(known, "reference_id").groupBy("group_name").agg(F.sum("fragments").alias("fragments"))
+    targets = known.where(F.col("category").isin("sample", "nonsample_target"))
+    return targets.join(sources, "group_name", "left").select("reference_id", F.coalesce("fragments", F.lit(0)).cast("long").alias("fragments"))
+
+
 def hits(spark, d):
     return table(spark, d, "xreact_hits").dropDuplicates(["hit_id"])
 
@@ -174,7 +202,7 @@ QUERIES = {
     for f in (
         *(a1_reads_per_reference, a2_read_mappings, a3_mapped_read_ids, j4_reads_on_sample_targets, j5_unmapped_reads, a4_count_per_source, a5_category_counts, a6_fragment_class, j8_mapping_accuracy, a7_reads_per_group),
         *(a8_confusion_metrics, a9_unknown_detected, a10_detail_rows, a11_group_detail, a12_flow_counts, j10_target_identity, j11_cross_species_edges, a19_discriminability, a20_confusion_cells, a21_panel_tiers),
-        *(a29_species_evidence, g7_species_calls, a17_hit_percentages, a18_probe_summary, a15_multi_mapping, a16_probes_per_target),
+        *(a29_species_evidence, j9_fragments_per_group, j15_renamed_reads, s9_groups_on_both_sides, s9_unlisted_references, s9_all_names, g7_species_calls, a17_hit_percentages, a18_probe_summary, a15_multi_mapping, a16_probes_per_target),
     )
 }
 
@@ -222,6 +250,11 @@ def _n(c: str) -> str:
 
 
 ORACLE = {
+    "j15_renamed_reads": f"WITH f AS (SELECT regexp_replace(qname, '/[12]$', '') AS bare, arg_min(rname, aln_id) AS mapped FROM sam_alignments WHERE rname <> '*' AND (coalesce(flag, 0) & 2304) = 0 AND qname IS NOT NULL GROUP BY ALL), n AS (SELECT DISTINCT qname, regexp_replace(qname, '/[12]$', '') AS bare FROM sam_alignments WHERE qname IS NOT NULL) SELECT qname, coalesce(mapped, {_SRC}, bare) AS source_id FROM n LEFT JOIN f USING (bare)",
+    "s9_groups_on_both_sides": f"WITH {_KNOWN} SELECT group_name FROM known WHERE category IN ('sample', 'nonsample_target') INTERSECT SELECT group_name FROM known WHERE category = 'distractor'",
+    "s9_unlisted_references": "SELECT DISTINCT rname AS reference_id FROM sam_alignments WHERE rname <> '*' AND rname NOT IN (SELECT rname FROM ref_targets)",
+    "s9_all_names": "SELECT rname AS reference_id FROM sam_alignments WHERE rname <> '*' UNION SELECT target FROM probe_alns WHERE target <> '*'",
+    "j9_fragments_per_group": f"WITH {_MAP}, {_KNOWN}, s AS (SELECT group_name, count(*) AS n FROM map JOIN known ON known.reference_id = {_SRC} GROUP BY ALL) SELECT reference_id, coalesce(n, 0) AS fragments FROM known LEFT JOIN s USING (group_name) WHERE category IN ('sample', 'nonsample_target')",
     "a1_reads_per_reference": f"WITH {_DET} SELECT * FROM det",
     "a2_read_mappings": f"WITH {_MAP} SELECT * FROM map",
     "a3_mapped_read_ids": "SELECT DISTINCT qname FROM sam_alignments WHERE rname <> '*' AND qname IS NOT NULL",
