@@ -13,6 +13,9 @@ from tilewright.operators.islands import islands_and_gaps
 from tilewright.operators.running import running_totals
 
 
+_MARK = 1 << 40
+
+
 def mapped(alns: DataFrame, secondary: bool = False, supplementary: bool = False) -> DataFrame:
     """Alignments on a reference, once per aln_id where there is one; primary ones unless asked for others."""
     dropped = (0 if secondary else SECONDARY) | (0 if supplementary else SUPPLEMENTARY)
@@ -34,16 +37,19 @@ def depth_segments(blocks: DataFrame, refs: DataFrame) -> DataFrame:
     left out, and ones without blocks are one run of depth 0. Each block adds one at its
     start and takes one away at its end; these changes are summed per place before they are
     shuffled, and their running total is the depth. Work follows the number of blocks, not
-    of bases, and a reference with most of the blocks is spread over partitions.
+    of bases, there is no join, and a reference with most of the blocks is spread over
+    partitions.
     """
     known = refs.select("reference_id", F.col("ref_length").cast("long").alias("len")).where("len > 0").dropDuplicates(["reference_id"])
-    ends = known.select("reference_id", F.explode(F.array(F.lit(0).cast("long"), F.col("len"))).alias("at"), F.lit(0).alias("change"))
-    changes = blocks.select("reference_id", F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("change")), F.struct(F.col("e").alias("at"), F.lit(-1).alias("change")))).alias("x")).select("reference_id", "x.at", "x.change")
-    summed = changes.groupBy("reference_id", "at").agg(F.sum("change").alias("change")).where("change <> 0")
-    clipped = summed.join(known, "reference_id").select("reference_id", F.least("at", "len").alias("at"), "change")
-    events = clipped.unionByName(ends).groupBy("reference_id", "at").agg(F.sum("change").alias("change"), F.max((F.col("change") == 0).cast("int")).alias("edge")).where("change <> 0 or edge = 1")
+    # a reference's start and end add to the total above any depth, which tells where along it the depth counts
+    mark = lambda at, n: F.struct(at.alias("at"), F.lit(n * _MARK).alias("change"))
+    ends = known.select("reference_id", F.explode(F.array(mark(F.lit(0).cast("long"), 1), mark(F.col("len"), 2))).alias("x"))
+    step = lambda c, n: F.struct(F.col(c).cast("long").alias("at"), F.lit(n).cast("long").alias("change"))
+    changes = blocks.select("reference_id", F.explode(F.array(step("s", 1), step("e", -1))).alias("x"))
+    events = changes.unionByName(ends).select("reference_id", "x.at", "x.change").groupBy("reference_id", "at").agg(F.sum("change").alias("change")).where("change <> 0")
     totals = running_totals(events, "reference_id", "at", "change")
-    return totals.where(F.col("prev_at").isNotNull()).select("reference_id", F.col("prev_at").alias("seg_start"), F.col("at").alias("seg_end"), F.col("prev_total").alias("depth"))
+    inside = F.col("prev_at").isNotNull() & (F.col("prev_total") >= _MARK) & (F.col("prev_total") < 2 * _MARK)
+    return totals.where(inside).select("reference_id", F.col("prev_at").alias("seg_start"), F.col("at").alias("seg_end"), (F.col("prev_total") - _MARK).alias("depth"))
 
 
 def _pct(cond, length):

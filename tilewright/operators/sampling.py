@@ -55,7 +55,7 @@ def weighted_choice(draws: DataFrame, u: str, items: DataFrame, order: list[str]
     some = items.where((F.col(weight) > 0) & ~F.isnan(weight))
     mass = some.agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n")).first()
     if not mass["n"]:
-        return draws.join(items.limit(0).withColumn("_none", F.lit(1)), F.lit(False)).drop("_none")
+        return draws.withColumn("_k", F.lit(0)).join(some.withColumn("_k", F.lit(1)), "_k").drop("_k")
     ranked = global_rank(some, order, "items")
     units = F.greatest(F.round(F.col(weight) / F.lit(mass["w"]) * WEIGHT_UNITS), F.lit(1.0)).cast("long")
     steps = running_totals(ranked.select(F.lit(0).alias("g"), "rank", units.alias("units")), "g", "rank", "units")
