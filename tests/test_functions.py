@@ -104,3 +104,12 @@ def test_dust_columns(spark):
         low = [x for x in scores if x < 2]
         got = one(spark, text, dust_scores("s"))
         assert abs(got.mean_score - sum(scores) / max(1, len(scores))) < 1e-9 and abs(got.mean_below - sum(low) / max(1, len(low))) < 1e-9
+
+
+def test_labels(spark):
+    from tilewright.functions.labels import aligner_preset, combination_label, header_value, trimmed_number
+
+    assert [one(spark, v, trimmed_number("s"), "double") for v in (0.5, 10.0, 100.0, 0.000001, None)] == ["0.5", "10", "100", "0.000001", None]
+    assert one(spark, 0.25, combination_label(ct=F.lit(20.0), cf="s", n=F.lit(None).cast("double")), "double") == "ct=20_cf=0.25"
+    assert one(spark, "badread", aligner_preset("s", F.lit("nanopore"))) == "map-ont" and one(spark, "art", aligner_preset("s", F.lit(""))) == "sr"
+    assert one(spark, "x_fragment_1 start=5 length=90", header_value("s", "length")) == 90 and one(spark, "x", header_value("s", "start")) is None

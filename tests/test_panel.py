@@ -116,3 +116,12 @@ def test_samples_and_prefix_links(spark):
             parse_sample_tokens(bad)
     links = link_by_prefix(spark.createDataFrame([("g1",), ("g2",), ("g3",)], "genome_id string"), spark.createDataFrame([("g1|a",), ("g1|a|b",), ("g2",), ("g22|x",), ("g3|y",)], "target_id string"), spark.createDataFrame([("g3", "z")], "genome_id string, target_id string"))
     assert sorted(map(tuple, links.collect())) == [("g1", "g1|a"), ("g1", "g1|a|b"), ("g2", "g2"), ("g3", "z")]
+
+
+def test_hit_scores(spark):
+    alns = spark.createDataFrame([(1, "p", 0, "r", 5, "10M", "GCGCGCGCGC", "10"), (1, "p", 0, "r", 5, "10M", "GCGCGCGCGC", "10"), (2, "q", 256, "r", 1, "2M2D2M", "ATAT", "4"), (3, "z", 0, "none", 1, "4M", "ATAT", "4"), (4, "u", 4, "*", 0, "*", "A", None), (5, "n", 0, "r", 1, "4M", "*", None)], "aln_id long, qname string, flag int, rname string, pos long, cigar string, seq string, md string")
+    weights = spark.createDataFrame([("r", 0.5), ("none", 0.0)], "reference_id string, weight double")
+    got = {x.probe_id: x for x in R.score_hits(alns, weights, 65.0, 1.0).collect()}
+    assert set(got) == {"p", "q"} and got["p"].score > 0.5 and (got["p"].s, got["p"].e) == (4, 14)
+    assert (got["q"].s, got["q"].e, got["q"].score) == (0, 6, 0.5)
+    assert {x.probe_id: x.score for x in R.score_hits(alns, weights, 65.0, 1.0, thermo=False).collect()} == {"p": 0.5, "q": 0.5, "n": 0.5}

@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions.alignment import cigar_ref_length, paired_bases
+from tilewright.functions.thermo import boltzmann_score, delta_g
 from tilewright.operators.running import global_rank, running_totals
 
 WEIGHT_UNITS = 1 << 44
@@ -43,6 +45,26 @@ def target_weights(refs: DataFrame, distractor_fraction: float) -> DataFrame:
     return known.join(F.broadcast(counts), "k").select("reference_id", "category", weight.alias("weight"))
 
 
+def score_hits(alns: DataFrame, weights: DataFrame, temp_c: float, na_molar: float, thermo: bool = True) -> DataFrame:
+    """(probe_id, reference_id, s, e, score): alignments of probes on weighted references.
+
+    alns as SAM fields; weights (reference_id, weight), of which only those above 0 take
+    part. The score is the weight, times the Boltzmann factor of the bases that pair if
+    thermo. Secondary and supplementary alignments are hits like others. Rows without a
+    reference, CIGAR or position are left out, without a sequence too if thermo.
+    """
+    rows = alns.where((F.col("rname") != "*") & (F.col("cigar") != "*") & F.col("pos").isNotNull())
+    if "aln_id" in alns.columns:
+        rows = rows.dropDuplicates(["aln_id"])
+    rows = rows.join(weights.where("weight > 0").select(F.col("reference_id").alias("rname"), "weight"), "rname")
+    score = F.col("weight")
+    if thermo:
+        rows = rows.where("seq <> '*'").withColumn("_paired", paired_bases("seq", "cigar", "md"))
+        score = score * boltzmann_score(delta_g("_paired", temp_c, na_molar), temp_c)
+    start = F.greatest(F.col("pos") - 1, F.lit(0))
+    return rows.select(F.col("qname").alias("probe_id"), F.col("rname").alias("reference_id"), start.alias("s"), (start + cigar_ref_length("cigar")).alias("e"), score.alias("score"))
+
+
 def weighted_choice(draws: DataFrame, u: str, items: DataFrame, order: list[str], weight: str) -> DataFrame:
     """Each row of draws with the row of items that its number u in [0, 1) falls on, items taking room by weight.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tilewright.functions.labels import combination_label
 from tilewright.functions.thermo import boltzmann_score, delta_g
 from tilewright.operators import depth as D
 from tilewright.operators import design as G
@@ -31,6 +32,31 @@ def r1_target_weights(spark, d):
     return R.target_weights(refs(spark, d), 0.5).select("reference_id", F.round("weight", 9).alias("weight"))
 
 
+def r2_hit_scores(spark, d):
+    scored = R.score_hits(alns(spark, d), R.target_weights(refs(spark, d), 0.5), 65.0, 0.05)
+    return scored.select("probe_id", "reference_id", "s", "e", F.round(F.ln("score"), 6).alias("log_score"))
+
+
+def r2_simple_hit_scores(spark, d):
+    scored = R.score_hits(alns(spark, d), R.target_weights(refs(spark, d), 0.5), 65.0, 0.05, thermo=False)
+    return scored.select("probe_id", "reference_id", "s", "e", F.round("score", 9).alias("score"))
+
+
+def f25_sweep_labels(spark, d):
+    rows = table(spark, d, "sweep_summary").select("ct", "hybridization_temperature", "capture_fraction", "num_sequences").distinct()
+    return rows.select("*", combination_label(ct="ct", temp="hybridization_temperature", cf="capture_fraction", n="num_sequences").alias("label"))
+
+
+def d12_individual_coverage(spark, d):
+    """Breadth of each target by all spans placed on it, and by only those of probes that have no longer span elsewhere."""
+    spans = probe_spans(spark, d)
+    best = spans.groupBy("probe_name").agg(F.min(F.struct((F.col("s") - F.col("e")).alias("k"), "reference_id")).alias("b")).select("probe_name", F.col("b.reference_id").alias("reference_id"))
+    winners = spans.join(best, ["probe_name", "reference_id"], "left_semi").select("reference_id", "s", "e")
+    side = lambda seg, name: seg.groupBy("reference_id").agg((F.sum(F.when(F.col("depth") > 0, F.col("seg_end") - F.col("seg_start")).otherwise(0)) / F.sum(F.col("seg_end") - F.col("seg_start")) * 100).alias(name))
+    combined = D.depth_segments(winners, references(spark, d))
+    return side(probe_segments(spark, d), "individual_pct").join(side(combined, "combined_pct"), "reference_id")
+
+
 def r3_capture_fragments(spark, d):
     weights = weighted_refs(spark, d).where("weight > 0").select("reference_id", F.col("weight").alias("score"), "ref_length")
     pool = R.split_pools(draws(spark, d), "draw_id", 0.8).where("pool = 'capture'").select("draw_id")
@@ -155,7 +181,7 @@ def k9_results_json(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        *(r1_target_weights, r3_capture_fragments, r4_background_fragments, r5_pool_sizes, r6_resampled_reads, g2_greedy_cover, g3_gap_baits, g5_collapse_identical, a23_percentile_coverage, a24_median_probe_length, a28_refine_summary),
+        *(r1_target_weights, r2_hit_scores, r2_simple_hit_scores, f25_sweep_labels, d12_individual_coverage, r3_capture_fragments, r4_background_fragments, r5_pool_sizes, r6_resampled_reads, g2_greedy_cover, g3_gap_baits, g5_collapse_identical, a23_percentile_coverage, a24_median_probe_length, a28_refine_summary),
         *(g9_temperature_sweep, g9_sweep_by_parameters, v1_flow_links, v2_metric_bars, v3_top_groups, v5_worst_targets, v5_tiered_coverage, v6_pangenome_offsets, v7_coverage_gain, v10_homology_matrix, v11_key_thresholds, v12_build_steps),
         *(k6_detected_list, k9_results_json),
     )
@@ -175,7 +201,12 @@ def _oracle() -> dict[str, str]:
     avg = "sum(depth * (seg_end - seg_start)) / CAST(sum(seg_end - seg_start) AS DOUBLE)"
     thresholds = ", ".join(f"sum(CASE WHEN depth >= {t} THEN seg_end - seg_start ELSE 0 END) / CAST(sum(seg_end - seg_start) AS DOUBLE) * 100 AS pct_{t}x" for t in (1, 5, 10, 20, 50, 100))
     flow = lambda name, target, source: f"SELECT '{name}' AS step, coalesce(category, 'unknown') AS source, '{target}' AS target, count(*) AS n FROM {source} LEFT JOIN ref_targets ON rname = {_SRC} WHERE {_SRC} IS NOT NULL GROUP BY ALL"
+    _WT = "w AS (SELECT rname, CASE category WHEN 'sample' THEN 1.0::DOUBLE WHEN 'distractor' THEN 0.5::DOUBLE * s / (n * 0.5::DOUBLE) ELSE 0.0::DOUBLE END AS weight FROM ref_targets, (SELECT count(*) FILTER (category = 'sample') AS s, count(*) FILTER (category = 'distractor') AS n FROM ref_targets) WHERE category IN ('sample', 'nonsample_target', 'distractor'))"
+    _LEN = "CAST(list_sum(list_transform(list_zip(regexp_extract_all(cigar, '([0-9]+)([MIDNSHP=X])', 1), regexp_extract_all(cigar, '([0-9]+)([MIDNSHP=X])', 2)), lambda x: CASE WHEN x[2] IN ('M', 'D', 'N', '=', 'X') THEN CAST(x[1] AS BIGINT) ELSE 0 END)) AS BIGINT)"
+    pct = "sum(CASE WHEN depth > 0 THEN seg_end - seg_start ELSE 0 END) / CAST(sum(seg_end - seg_start) AS DOUBLE) * 100"
     return {
+        "r2_simple_hit_scores": f"WITH {_WT}, a AS (SELECT DISTINCT ON (aln_id) * FROM sam_alignments WHERE rname <> '*' AND cigar <> '*' AND pos IS NOT NULL) SELECT qname AS probe_id, rname AS reference_id, greatest(pos - 1, 0) AS s, greatest(pos - 1, 0) + {_LEN} AS e, round(weight, 9) AS score FROM a JOIN w USING (rname) WHERE weight > 0",
+        "d12_individual_coverage": f"WITH {_REFS}, {_PROBES}, best AS (SELECT probe_name, reference_id FROM spans QUALIFY row_number() OVER (PARTITION BY probe_name ORDER BY s - e, reference_id) = 1), win AS (SELECT reference_id, s, e FROM spans JOIN best USING (probe_name, reference_id)), {_segments('seg', 'spans')}, {_segments('wseg', 'win')}, a AS (SELECT reference_id, {pct} AS individual_pct FROM seg GROUP BY ALL), b AS (SELECT reference_id, {pct} AS combined_pct FROM wseg GROUP BY ALL) SELECT * FROM a JOIN b USING (reference_id)",
         "r1_target_weights": "WITH c AS (SELECT count(*) FILTER (category = 'sample') AS s, count(*) FILTER (category = 'distractor') AS n FROM ref_targets) SELECT rname AS reference_id, round(CASE category WHEN 'sample' THEN 1.0::DOUBLE WHEN 'distractor' THEN 0.5::DOUBLE * s / (n * 0.5::DOUBLE) ELSE 0.0::DOUBLE END, 9) AS weight FROM ref_targets, c WHERE category IN ('sample', 'nonsample_target', 'distractor')",
         "r5_pool_sizes": "WITH n AS (SELECT count(DISTINCT aln_id) AS n FROM sam_alignments) SELECT 'capture' AS pool, CAST(floor(n * 0.8::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS n FROM n UNION ALL SELECT 'background', n - CAST(floor(n * 0.8::DOUBLE + 0.5::DOUBLE) AS BIGINT) FROM n",
         "g3_gap_baits": f"{_SPANS}, b AS (SELECT reference_id, len, unnest(generate_series(seg_start, seg_end - 1, 120)) AS bait FROM seg JOIN refs USING (reference_id) WHERE depth = 0) SELECT reference_id, bait, greatest(least(bait, len - 120), 0) AS start, least(greatest(least(bait, len - 120), 0) + 120, len) AS \"end\" FROM b",
