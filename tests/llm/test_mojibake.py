@@ -1,8 +1,10 @@
+import math
 import random
 
+import numpy as np
 import pytest
 
-from tilewright.llm.mojibake import CHAINS, find_garbled, garble, restore, train_classifier
+from tilewright.llm.mojibake import BUCKETS, CHAIN_NAMES, CHAINS, Classifier, Usage, find_garbled, garble, restore, train_classifier
 
 SCHEMA = "doc_id long, text string, chain string, restored string"
 GARBLING = [(("utf-8", "cp1252"),), (("utf-8", "latin-1"),), (("utf-8", "cp437"),), (("utf-8", "mac_roman"),), (("utf-8", "cp1252"), ("utf-8", "cp1252")), (("cp1251", "cp1252"),), (("koi8-r", "cp1251"),), (("cp1250", "cp1252"),), (("cp1253", "cp1252"),)]
@@ -63,3 +65,19 @@ def test_chains_invert():
             g = garble(s, chain)
             if g is not None and "�" not in g and (back := restore(g, chain)) is not None:
                 assert back == s
+
+
+def test_one_short_passage_is_enough():
+    model = Classifier(np.zeros((len(CHAINS), BUCKETS)), np.zeros((len(CHAINS), BUCKETS)), Usage({}, {}), 0.0, 8.0)
+    utf8, other = CHAIN_NAMES.index("utf-8>latin-1"), CHAIN_NAMES.index("cp1251>cp1252")
+    # the gain of cafÃ© on sf0.1, where 53 documents have it, so that it is likely as it is, too
+    model.known = {"cafÃ©": (utf8, 3.8, (utf8,)), "Îí": (other, 3.8, (other,))}
+    assert model.faults(["cafÃ©", "Îí", "plain"]) == {"cafÃ©": utf8}
+
+
+def test_like_chains_share_their_evidence():
+    latin, windows, turkish = ((CHAIN_NAMES.index(f"utf-8>{d}")) for d in ("latin-1", "cp1252", "cp1254"))
+    model = Classifier(np.zeros((len(CHAINS), BUCKETS)), np.zeros((len(CHAINS), BUCKETS)), Usage({}, {}), 0.0, 8.0)
+    model.known = {"Ã¡": (latin, 3.0, (latin, windows, turkish)), "Ã±": (windows, 3.0, (windows, latin)), "Ã³": (turkish, 3.0, (turkish, latin))}
+    assert model.faults(["Ã¡", "Ã±", "Ã³"], alone=math.inf) == dict.fromkeys(["Ã¡", "Ã±", "Ã³"], latin)
+    assert model.faults(["Ã¡", "Ã±"], alone=math.inf) == {}

@@ -163,7 +163,7 @@ class Classifier:
         # a bucket's numbers lie together
         self.garbled, self.meant = np.ascontiguousarray(garbled.T), np.ascontiguousarray(meant.T)
         self.usage, self.odds, self.gain = usage, odds, gain
-        self.known: dict[str, tuple[int, float]] = {}
+        self.known: dict[str, tuple[int, float, tuple[int, ...]]] = {}
 
     def log_odds(self, word: str) -> np.ndarray:
         """Of each chain, against the word's being meant, in the words that the chain can garble or in all."""
@@ -171,11 +171,11 @@ class Classifier:
         meant = self.meant[f].sum(axis=0)
         return self.garbled[f].sum(axis=0) - np.maximum(meant, meant[0])
 
-    def judge(self, word: str) -> tuple[int, float]:
-        """(chain, how many times as likely, as a logarithm, it is that the chain garbled the word); chain 0: as meant. Digits don't matter."""
+    def judge(self, word: str) -> tuple[int, float, tuple[int, ...]]:
+        """(chain, how many times as likely, as a logarithm, it is that the chain garbled the word, all chains that undo it to the same text); chain 0: as meant. Digits don't matter."""
         return self.judge_plain(word.translate(_DIGITS))
 
-    def judge_plain(self, word: str) -> tuple[int, float]:
+    def judge_plain(self, word: str) -> tuple[int, float, tuple[int, ...]]:
         """judge, of a word whose digits are 0 already."""
         if (got := self.known.get(word)) is None:
             got = self._judge(word)
@@ -185,36 +185,39 @@ class Classifier:
                 self.known[word] = got
         return got
 
-    def _judge(self, word: str) -> tuple[int, float]:
+    def _judge(self, word: str) -> tuple[int, float, tuple[int, ...]]:
         odds = self.log_odds(word)
         likely = [int(k) for k in np.argsort(-odds)[:16] if k and odds[k] > self.odds]
         if LOST in word:
-            return (likely or [1])[0], math.inf
+            return (k := (likely or [1])[0]), math.inf, (k,)
         meant, best = self.usage.log_p(word), (0, 0.0)
+        undone: dict[str, list[int]] = {}
         for k in likely:
             if CHAINS[k][-1][1] == "utf-8":  # what is no UTF-8 is lost when it is read so
                 continue
             back = undo(word, CHAINS[k])
-            if back is not None and (gain := self.usage.log_p(back) - meant) > best[1]:
+            if back is None:
+                continue
+            if back not in undone and (gain := self.usage.log_p(back) - meant) > best[1]:
                 best = (k, gain)
-        return best
+            undone.setdefault(back, []).append(k)
+        return *best, next((tuple(like) for like in undone.values() if best[0] in like), ())
 
-    def faults(self, words: list[str], alone: float = math.inf) -> dict[str, int]:
+    def faults(self, words: list[str], alone: float = 2.5) -> dict[str, int]:
         """The garbled ones of a document's words, with their chain.
 
-        Each chain's words must together be beyond doubt. With alone, a word that is valid
-        UTF-8 when it is undone needs that much only.
+        Each chain's words must together be beyond doubt; a word counts for all chains that
+        undo it to the same text. A word that is valid UTF-8 when it is undone needs alone
+        only: text that was meant is hardly ever valid.
         """
         judged = {w: got for w in set(words) if (got := self.judge(w))[0] and got[1] > 2.0}
         weight: Counter = Counter()
-        for k, gain in judged.values():
-            weight[k] += gain
-        found = {w: k for w, (k, gain) in judged.items() if weight[k] > self.gain or (gain > alone and CHAINS[k][0][0] == "utf-8")}
-        ranked = [k for k, _ in weight.most_common()]  # like encodings undo the same words: the document's commonest is named
-        for w, k in found.items():
-            if LOST not in w:
-                found[w] = next((c for c in ranked if c == k or (CHAINS[c][-1][1] != "utf-8" and (back := undo(w, CHAINS[c])) and back == undo(w, CHAINS[k]))), k)
-        return found
+        for _, gain, like in judged.values():
+            for k in like:
+                weight[k] += gain
+        # like encodings undo the same words: the document's commonest is named
+        named = {w: max(like, key=lambda c: (weight[c], c == k)) for w, (k, _, like) in judged.items()}
+        return {w: k for w, k in named.items() if weight[k] > self.gain or (judged[w][1] > alone and CHAINS[judged[w][0]][0][0] == "utf-8")}
 
 
 def _counts(words: Counter) -> Iterator[tuple[int, bool, np.ndarray]]:
@@ -248,7 +251,7 @@ def _fit(sample: DataFrame, text: str, before: Classifier | None, least_docs: fl
             for value in batch.column(0).to_pylist():
                 if value and not value.isascii():
                     own = set(_words(value))
-                    faulty = before.faults(own, alone=2.5) if before and any(before.judge_plain(w)[1] > 2.0 for w in own) else ()
+                    faulty = before.faults(own) if before and any(before.judge_plain(w)[1] > 2.0 for w in own) else ()
                     found.update(w for w in own if w not in faulty and len(w) <= 400)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
@@ -306,7 +309,8 @@ def find_garbled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cl
     A passage is a run of characters between blanks with one beyond ASCII. The classifier
     names the likely chains of encodings; a chain is inverted, which must succeed strictly
     byte by byte, and the outcome must be many times likelier, as text that was meant, than
-    the passage is; the evidence of a document's passages for one chain adds up. Passages
+    the passage is; the evidence of a document's passages for one chain adds up, and a
+    passage that becomes valid UTF-8 needs less of it. Passages
     with a replacement character are found though they can't be restored. chain is the commonest of the document; restored is the
     text with the restorable passages put right, the others as they are. Null, empty and
     ASCII texts have no passage and give no row. Repeated rows are judged each; other
