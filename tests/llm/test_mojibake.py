@@ -81,3 +81,13 @@ def test_like_chains_share_their_evidence():
     model.known = {"Ã¡": (latin, 3.0, (latin, windows, turkish)), "Ã±": (windows, 3.0, (windows, latin)), "Ã³": (turkish, 3.0, (turkish, latin))}
     assert model.faults(["Ã¡", "Ã±", "Ã³"], alone=math.inf) == dict.fromkeys(["Ã¡", "Ã±", "Ã³"], latin)
     assert model.faults(["Ã¡", "Ã±"], alone=math.inf) == {}
+
+
+def test_chains_of_any_rank_are_tried():
+    mac = CHAIN_NAMES.index("utf-8>mac_roman")
+    garbled = np.full((len(CHAINS), BUCKETS), 1.0)
+    garbled[mac] = 0.5  # likely, but behind all others
+    model = Classifier(garbled, np.zeros((len(CHAINS), BUCKETS)), Usage({"©": 100.0}, {" ©": 100.0, "© ": 100.0}), 0.0, 8.0)
+    assert model.judge("¬©")[0] == mac
+    # a lone letter is a frequent sign in one of many encodings
+    assert model.judge("ß")[1] < 8.0

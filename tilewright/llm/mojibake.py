@@ -187,7 +187,7 @@ class Classifier:
 
     def _judge(self, word: str) -> tuple[int, float, tuple[int, ...]]:
         odds = self.log_odds(word)
-        likely = [int(k) for k in np.argsort(-odds)[:16] if k and odds[k] > self.odds]
+        likely = [int(k) for k in np.argsort(-odds, kind="stable") if k and odds[k] > self.odds]
         if LOST in word:
             return (k := (likely or [1])[0]), math.inf, (k,)
         meant, best = self.usage.log_p(word), (0, 0.0)
@@ -201,7 +201,10 @@ class Classifier:
             if back not in undone and (gain := self.usage.log_p(back) - meant) > best[1]:
                 best = (k, gain)
             undone.setdefault(back, []).append(k)
-        return *best, next((tuple(like) for like in undone.values() if best[0] in like), ())
+        k, gain = best
+        if k and CHAINS[k][0][0] != "utf-8":  # almost any bytes are valid in these, so one of many texts is likely by chance
+            gain -= math.log(len(undone))
+        return k, gain, next((tuple(like) for like in undone.values() if k in like), ())
 
     def faults(self, words: list[str], alone: float = 2.5) -> dict[str, int]:
         """The garbled ones of a document's words, with their chain.
