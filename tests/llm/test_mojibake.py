@@ -91,3 +91,10 @@ def test_chains_of_any_rank_are_tried():
     assert model.judge("¬©")[0] == mac
     # a lone letter is a frequent sign in one of many encodings
     assert model.judge("ß")[1] < 8.0
+
+
+def test_usage_is_counted_over_all_documents(spark):
+    rows = [(i, "zażółć gęślą jaźń" if i == 0 else "résumé naïveté", None, None) for i in range(400)] + [(400 + i, "хорошо", None, None) for i in range(5)]
+    model = train_classifier(spark.createDataFrame(rows, SCHEMA), sample_docs=40)
+    assert model.usage.words == {"résumé": 399.0, "naïveté": 399.0, "хорошо": 5.0}
+    assert model.usage.pairs["żó"] == 1.0 and model.usage.pairs["хо"] == 5.0

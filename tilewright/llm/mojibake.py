@@ -11,13 +11,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.scratch import shuffle_width
+from tilewright.scratch import drop_table, shuffle_width, write_table
 
 BUCKETS = 1 << 14
+#: A word or pair of characters is kept if it makes up at least this share of all; so there are at most as many of them as the share goes into 1.
+WORD_SHARE, PAIR_SHARE = 1 / 250_000, 1 / 500_000
 
 _U1, _U2 = ("utf-8", "cp1252"), ("utf-8", "latin-1")
 _READ_UTF8_AS = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "cp1253", "cp1254", "cp1258", "koi8-r", "cp866", "iso8859-2", "iso8859-7", "iso8859-9", "gbk", "cp932")
@@ -242,68 +244,81 @@ def _counts(words: Counter) -> Iterator[tuple[int, bool, np.ndarray]]:
             yield k, garbled, np.bincount(found, weights=per_byte[at], minlength=BUCKETS)
 
 
-def _fit(sample: DataFrame, text: str, before: Classifier | None, least_docs: float, odds: float, gain: float, background: float = 0.1) -> Classifier:
-    """Count on Spark: first the sample's distinct words, then, for each of them once, its pairs in every chain.
+def _fit(docs: DataFrame, text: str, in_sample: Column, before: Classifier | None, least_docs: float, odds: float, gain: float, background: float = 0.1) -> Classifier:
+    """Count on Spark: the distinct words of all documents and their pairs of characters; for each word of the sample, once, its pairs of bytes in every chain.
 
-    What comes back is bounded by chains x buckets, and by the size of the sample for its words.
+    What comes back is bounded by chains x buckets, and by WORD_SHARE and PAIR_SHARE.
     """
+    spark = docs.sparkSession
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: Counter = Counter()
-            for value in batch.column(0).to_pylist():
+            found, sampled = Counter(), Counter()
+            for value, is_sampled in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if value and not value.isascii():
                     own = set(_words(value))
                     faulty = before.faults(own) if before and any(before.judge_plain(w)[1] > 2.0 for w in own) else ()
-                    found.update(w for w in own if w not in faulty and len(w) <= 400)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-
-    def rows(model, bucket, word, n) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(model.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(word, pa.string()), pa.array(n.astype(float))], names=["model", "bucket", "word", "n"])
+                    kept = [w for w in own if w not in faulty and len(w) <= 400]
+                    found.update(kept)
+                    if is_sampled:
+                        sampled.update(kept)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64()), pa.array([sampled[w] for w in found], pa.int64())], names=["word", "n", "in_sample"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = Counter(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
             for k, garbled, row in _counts(found):
                 at = np.flatnonzero(row)
-                yield rows(np.full(len(at), 2 * k + garbled), at, [""] * len(at), row[at])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 2 * k + garbled, np.int32)), pa.array(at.astype(np.int32)), pa.array(row[at])], names=["model", "bucket", "n"])
+
+    def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             pairs: Counter = Counter()
-            for word, n in found.items():
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if LOST not in word:
                     for a, b in zip(f" {word}", f"{word} "):
                         pairs[a + b] += n
-            for model, some in ((-1, {w: n for w, n in found.items() if n >= least_docs}), (-3, pairs)):
-                yield rows(np.full(len(some), model), np.zeros(len(some)), list(some), np.array(list(some.values()), float))
-
-    distinct = sample.select(text).mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    spread = distinct.repartition(min(32, shuffle_width(sample.sparkSession)), F.xxhash64("word"))
-    shape = T.StructType([T.StructField("model", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("n", T.DoubleType())])
-    table = spread.mapInArrow(count, shape).groupBy("model", "bucket", "word").agg(F.sum("n").alias("n")).toPandas()
-    model, bucket, n = table["model"].to_numpy(), table["bucket"].to_numpy(), table["n"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(list(pairs), pa.string()), pa.array(list(pairs.values()), pa.int64())], names=["pair", "n"])
+
+    seen = docs.select(text, in_sample.alias("sampled")).mapInArrow(words, "word string, n long, in_sample long")
+    distinct, at = write_table(seen.groupBy("word").agg(F.sum("n").alias("n"), F.sum("in_sample").alias("in_sample")), "words")
+    spread = distinct.where("in_sample > 0").select("word", F.col("in_sample").alias("n")).repartition(min(32, shuffle_width(spark)), F.xxhash64("word"))
+    table = spread.mapInArrow(count, "model int, bucket int, n double").groupBy("model", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((2 * len(CHAINS), BUCKETS))
-    np.add.at(counts, (model[model >= 0], bucket[model >= 0]), n[model >= 0])
+    np.add.at(counts, (table["model"].to_numpy(), table["bucket"].to_numpy()), table["n"].to_numpy())
     # the same share for pairs never seen, however much a model has seen
     share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1.0)
     log_p = np.log((1 - background) * share + background / BUCKETS).astype(np.float32)
-    known, pairs = table[model == -1], table[model == -3]
-    usage = Usage(dict(zip(known["word"], known["n"])), dict(zip(pairs["word"], pairs["n"])))
+
+    pairs = distinct.select("word", "n").mapInArrow(pair_up, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs, pairs_at = write_table(pairs, "pairs")
+    usage = Usage(_frequent(distinct, "word", WORD_SHARE, least_docs), _frequent(pairs, "pair", PAIR_SHARE, 1))
+    for path in (at, pairs_at):
+        drop_table(spark, path)
     return Classifier(log_p[1::2], log_p[0::2], usage, odds, gain)
 
 
+def _frequent(counts: DataFrame, key: str, share: float, least: float) -> dict[str, float]:
+    """n by key, where it is at least least, and share of the sum: 1 / share keys at most."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    some = counts.where(F.col("n") >= max(least, share * total)).select(key, "n").toPandas()
+    return dict(zip(some[key], some["n"].astype(float)))
+
+
 def train_classifier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 20_000, odds: float = 0.0, gain: float = 8.0) -> Classifier:
     """Fit the chain classifier on texts of docs and on synthetically garbled forms of them.
 
     About sample_docs documents (all, if there are fewer), chosen by a hash of their id,
     serve as text that was meant; each of their words beyond ASCII is garbled by every chain
-    that it can be written in. The few words of the sample that are garbled already are
-    found by a first model, which knows as words only those of many documents, and are left
-    out of the second.
+    that it can be written in. How often words and pairs of characters are used is counted
+    over all documents. The few words that are garbled already are found by a first model,
+    which knows as words only those of many documents, and are left out of the second.
     """
     n = docs.count()
     share = min(1.0, sample_docs / max(1, n))
-    sample = docs.where(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1_000_000)) < int(share * 1_000_000))
-    first = _fit(sample, text, None, max(3.0, 0.0025 * share * n), odds, 0.75 * gain)
-    return _fit(sample, text, first, 3.0, odds, gain)
+    in_sample = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1_000_000)) < int(share * 1_000_000)
+    first = _fit(docs, text, in_sample, None, max(3.0, 0.0025 * n), odds, 0.75 * gain)
+    return _fit(docs, text, in_sample, first, 3.0, odds, gain)
 
 
 def find_garbled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classifier: Classifier | None = None) -> DataFrame:
