@@ -1,3 +1,4 @@
+import inspect
 import math
 import random
 from collections import Counter
@@ -37,6 +38,20 @@ def test_greedy_cover_is_the_loops(spark):
     assert G.greedy_cover(spark.createDataFrame([], "probe_id string, reference_id string, s long, e long"), refs).count() == 0
 
 
+def test_greedy_cover_goes_on_to_the_end(spark, monkeypatch):
+    """A chain of falling gains, in which each probe takes bases from the next: one probe a round."""
+    monkeypatch.setattr(G, "FOLD", 2)
+    assert "most_rounds" not in inspect.signature(G.greedy_cover).parameters
+    hits, at = [], 0
+    for i in range(7):
+        hits.append((f"p{i}", "a", at, at + 100 - i))
+        at += 99 - i
+    refs = spark.createDataFrame([("a", 1000)], "reference_id string, ref_length long")
+    got = {r.probe_id: (r.round, r.gain) for r in G.greedy_cover(spark.createDataFrame(hits, "probe_id string, reference_id string, s long, e long"), refs).collect()}
+    assert {p: g for p, (_, g) in got.items()} == greedy(hits)
+    assert max(k for k, _ in got.values()) >= 3
+
+
 def test_confusion_metrics(spark):
     refs = spark.createDataFrame([("s1", "g1", "sample"), ("s2", "g1", "sample"), ("s3", None, "sample"), ("t1", "g1", "nonsample_target"), ("d1", "d", "distractor"), ("d2", None, "distractor"), ("u", None, "untargeted")], "reference_id string, group_name string, category string")
     seen = spark.createDataFrame([("s1", 5), ("s3", 1), ("d1", 2), ("zz", 4)], "reference_id string, reads long")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.operators.depth import depth_segments, overlap_join
 from tilewright.operators.running import global_rank, running_totals
-from tilewright.scratch import drop_table, write_table
+from tilewright.scratch import drop_table, shuffle_width, write_table
+
+#: Rounds of the greedy cover whose picks lie in tables of their own.
+FOLD = 50
 
 
-def greedy_cover(hits: DataFrame, refs: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def greedy_cover(hits: DataFrame, refs: DataFrame) -> DataFrame:
     """(probe_id, round, gain): the probes that a greedy cover picks until nothing more can be covered.
 
     hits (probe_id, reference_id, s, e); refs (reference_id, ref_length). The classic loop
@@ -21,7 +27,9 @@ def greedy_cover(hits: DataFrame, refs: DataFrame, most_rounds: int = 1000) -> D
 
     References are cut where a hit begins or ends. Each probe is joined to its pieces once;
     a round keeps the best probe of each uncovered piece, and takes the probes that are best
-    on all of theirs. Pieces meet probes, never probes each other.
+    on all of theirs. Pieces meet probes, never probes each other. Each round with pieces
+    left takes a probe, so the rounds end by themselves; what they took is gathered into one
+    table every FOLD rounds, so plans stay small however many there are.
     """
     spark = hits.sparkSession
     hits = hits.select("probe_id", "reference_id", "s", "e").where("s < e").distinct()
@@ -30,26 +38,32 @@ def greedy_cover(hits: DataFrame, refs: DataFrame, most_rounds: int = 1000) -> D
     pieces = running_totals(cuts, "reference_id", "at", "one").where("prev_at IS NOT NULL").select("reference_id", F.col("prev_at").alias("s"), F.col("at").alias("e"))
     held = overlap_join(hits.select("reference_id", "s", "e", "probe_id"), pieces).select("probe_id", "reference_id", F.col("r_s").alias("piece"), (F.col("r_e") - F.col("r_s")).alias("bases")).distinct()
     state, state_at = write_table(held, "cover")
-    picked: list[DataFrame] = []
-    for k in range(most_rounds):
+    picked: list[tuple[DataFrame, str]] = []
+    for k in itertools.count():
         gain = state.groupBy("probe_id").agg(F.sum("bases").alias("gain"), F.count(F.lit(1)).alias("pieces"))
         rated = state.join(gain, "probe_id")
         best = rated.groupBy("reference_id", "piece").agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("probe_id").alias("p"))).alias("b")).select(F.col("b.p").alias("probe_id"))
         wins = best.groupBy("probe_id").agg(F.count(F.lit(1)).alias("won")).join(gain, "probe_id").where("won = pieces")
-        taken, _ = write_table(wins.select("probe_id", F.lit(k).alias("round"), "gain"), "picked")
+        taken, taken_at = write_table(wins.select("probe_id", F.lit(k).alias("round"), "gain"), "picked")
         if taken.isEmpty():
             break
-        picked.append(taken)
+        picked.append((taken, taken_at))
         gone = state.join(taken.select("probe_id"), "probe_id", "left_semi").select("reference_id", "piece").distinct()
         following, following_at = write_table(state.join(gone, ["reference_id", "piece"], "left_anti"), "cover")
         drop_table(spark, state_at)
         state, state_at = following, following_at
+        if len(picked) > FOLD:
+            whole = write_table(_union(picked).coalesce(shuffle_width(spark)), "picked")
+            for _, old_at in picked:
+                drop_table(spark, old_at)
+            picked = [whole]
     if not picked:
         return hits.limit(0).select("probe_id", F.lit(0).alias("round"), F.lit(0).cast("long").alias("gain"))
-    out = picked[0]
-    for more in picked[1:]:
-        out = out.unionByName(more)
-    return out
+    return _union(picked)
+
+
+def _union(tables: list[tuple[DataFrame, str]]) -> DataFrame:
+    return reduce(DataFrame.unionByName, (df for df, _ in tables))
 
 
 def gap_baits(hits: DataFrame, refs: DataFrame, length: int) -> DataFrame:
