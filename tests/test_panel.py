@@ -95,6 +95,13 @@ def test_tiles(spark):
     assert first == {"ACGT": ("a", 0), "GTAC": ("a", 6)}
 
 
+def test_seeds_meet_both_strands(spark):
+    targets = spark.createDataFrame([("t", "TTTTACGGATCCTTGACAAAA"), ("u", "GGGGGTCAAGGATCCGTGGGG")], "target_id string, seq string")
+    probes = spark.createDataFrame([("p", "acggatccttga"), ("q", "TCAAGGATCCGT"), ("own", "GGATCC"), ("n", "ACGGATNCTTGA"), ("p", "ACGGATCCTTGA")], "probe_id string, probe string")
+    got = sorted(map(tuple, tiling.seed_matches_both_strands(probes, targets, 5, 1).collect()))
+    assert got == sorted([("p", "t", "+", 4, 0), ("p", "u", "-", 5, 0), ("q", "t", "-", 4, 0), ("q", "u", "+", 5, 0), ("own", "t", "+", 6, 0), ("own", "u", "+", 9, 0), ("n", "t", "+", 4, 1), ("n", "u", "-", 5, 1)])
+
+
 def test_sampling_follows_weights(spark):
     draws = spark.range(6000).withColumnRenamed("id", "draw_id")
     items = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("c", 0.0), ("d", None)], "item string, w double")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions.sequence import hamming_n, reverse_complement
+
 
 def _starts(length: Column, size: int, stride: int, anchored: bool = True) -> Column:
     """Every stride-th start from 0 that fits, and the last start that does; null where the size doesn't fit."""
@@ -53,9 +55,8 @@ def seed_matches(probes: DataFrame, targets: DataFrame, seed: int, mismatches: i
     meets the same word of a target by equality; a place found by several seeds counts once,
     and is kept if the N-aware distance over the whole probe is at most mismatches. Equal
     probe texts are matched once and their ids joined back. Seeds with an N don't count.
+    Probes are matched as written; seed_matches_both_strands has the other strand too.
     """
-    from tilewright.functions.sequence import hamming_n
-
     def words(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
         cut = df.where(F.length(text) >= seed).select(*keep, F.posexplode(F.transform(F.sequence(F.lit(1), F.length(text) - seed + 1), lambda i: F.substring(F.col(text), i, F.lit(seed)))).alias("at", "word"))
         return cut.where(~F.contains("word", F.lit("N")))
@@ -67,3 +68,17 @@ def seed_matches(probes: DataFrame, targets: DataFrame, seed: int, mismatches: i
     window = places.join(genome, "target_id").withColumn("window", F.substring(F.col("seq"), F.col("start") + 1, F.length("probe"))).where(F.length("window") == F.length("probe"))
     near = window.withColumn("distance", hamming_n("probe", "window")).where(F.col("distance") <= mismatches)
     return near.join(probes.select("probe_id", F.upper("probe").alias("probe")), "probe").select("probe_id", "target_id", F.col("start").cast("long").alias("start"), "distance")
+
+
+def seed_matches_both_strands(probes: DataFrame, targets: DataFrame, seed: int, mismatches: int) -> DataFrame:
+    """(probe_id, target_id, strand, start, distance): seed_matches of each probe as written (+) and of its reverse complement (-).
+
+    start counts on the target as it is written. A place counts once, with the nearer
+    strand, or + if both are as near. The texts of both strands are matched in one pass.
+    """
+    both = probes.select("probe_id", F.upper("probe").alias("probe")).select("probe_id", F.explode(F.array_distinct(F.array(F.struct(F.col("probe").alias("text"), F.col("probe").alias("own")), F.struct(reverse_complement("probe").alias("text"), F.col("probe").alias("own"))))).alias("p"))
+    strand = F.when(F.col("p.text") == F.col("p.own"), "+").otherwise("-")
+    keyed = both.select(F.struct("probe_id", strand.alias("strand")).alias("probe_id"), F.col("p.text").alias("probe")).distinct()
+    found = seed_matches(keyed, targets, seed, mismatches)
+    nearest = found.groupBy("probe_id.probe_id", "target_id", "start").agg(F.min(F.struct("distance", "probe_id.strand")).alias("m"))
+    return nearest.select("probe_id", "target_id", "m.strand", "start", "m.distance")

@@ -119,7 +119,14 @@ def j12_seed_matches(spark, d):
     return tiling.seed_matches(probes, targets, 14, 40)
 
 
-QUERIES = {f.__name__: f for f in (f1_source_id, f2_reverse_complement, f3_hamming, f4_composition, f7_probe_filters, f10_complexity_filter, f11_sdust, f12_masked_fraction, f13_window_score, f13_dust_scores, f14_fix_n, f17_paired_bases, f18_delta_g, f19_boltzmann, f20_ct_fractions, f23_trim_reads, f27_kmer_code, d7_tiles, d8_kmers, d9_candidates, a22_fasta_stats, j12_seed_matches)}
+def j12_both_strands(spark, d):
+    """j12_seed_matches with the places of reverse complements."""
+    probes = reads(spark, d).select(F.col("aln_id").alias("probe_id"), F.col("seq").alias("probe"))
+    targets = document_sequences(spark, d).select(F.col("doc_id").alias("target_id"), "seq")
+    return tiling.seed_matches_both_strands(probes, targets, 14, 40)
+
+
+QUERIES = {f.__name__: f for f in (f1_source_id, f2_reverse_complement, f3_hamming, f4_composition, f7_probe_filters, f10_complexity_filter, f11_sdust, f12_masked_fraction, f13_window_score, f13_dust_scores, f14_fix_n, f17_paired_bases, f18_delta_g, f19_boltzmann, f20_ct_fractions, f23_trim_reads, f27_kmer_code, d7_tiles, d8_kmers, d9_candidates, a22_fasta_stats, j12_seed_matches, j12_both_strands)}
 
 _R = "(SELECT DISTINCT aln_id, seq FROM sam_alignments WHERE seq <> '*')"
 _DOCS = "(SELECT doc_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM documents WHERE regexp_replace(text, '[^ACGTacgt]', '', 'g') <> '')"
