@@ -13,7 +13,7 @@ from tilewright.operators import detection as N
 from tilewright.operators import sampling as R
 from tilewright.operators.running import running_totals
 from tilewright.plans.depth_queries import _READS, _SPANS, probe_segments, probe_spans, read_segments, references
-from tilewright.plans.panel_queries import _DET, _KNOWN, _groups, alns, detected, hits, refs
+from tilewright.plans.panel_queries import _DET, _KNOWN, _groups, a8_confusion_all, alns, detected, hits, refs
 from tilewright.plans.sequence_queries import _R, reads
 from tilewright.tables import table
 
@@ -128,6 +128,11 @@ def v2_metric_bars(spark, d):
     return m.unpivot([], ["sensitivity", "specificity", "precision", "f1_score"], "metric", "value")
 
 
+def v2_metric_bars_all(spark, d):
+    """v2_metric_bars over all detected references."""
+    return a8_confusion_all(spark, d).unpivot([], ["sensitivity", "specificity", "precision", "f1_score"], "metric", "value")
+
+
 def v3_top_groups(spark, d):
     return N.group_detail(detected(spark, d), refs(spark, d)).orderBy(F.desc("total_reads"), "group_name", "category").limit(40).select("group_name", "category", "total_reads")
 
@@ -178,12 +183,17 @@ def k9_results_json(spark, d):
     return m.select(F.to_json(F.struct(F.struct("tp_count", "fn_count", "fp_total", "tn_total").alias("counts"))).alias("document"))
 
 
+def k9_results_json_all(spark, d):
+    """k9_results_json over all detected references."""
+    return a8_confusion_all(spark, d).select(F.to_json(F.struct(F.struct("tp_count", "fn_count", "fp_total", "tn_total").alias("counts"))).alias("document"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         *(r1_target_weights, r2_hit_scores, r2_simple_hit_scores, f25_sweep_labels, d12_individual_coverage, r3_capture_fragments, r4_background_fragments, r5_pool_sizes, r6_resampled_reads, g2_greedy_cover, g3_gap_baits, g5_collapse_identical, a23_percentile_coverage, a24_median_probe_length, a28_refine_summary),
         *(g9_temperature_sweep, g9_sweep_by_parameters, v1_flow_links, v2_metric_bars, v3_top_groups, v5_worst_targets, v5_tiered_coverage, v6_pangenome_offsets, v7_coverage_gain, v10_homology_matrix, v11_key_thresholds, v12_build_steps),
-        *(k6_detected_list, k9_results_json),
+        *(k6_detected_list, k9_results_json, v2_metric_bars_all, k9_results_json_all),
     )
 }
 
@@ -204,7 +214,11 @@ def _oracle() -> dict[str, str]:
     _WT = "w AS (SELECT rname, CASE category WHEN 'sample' THEN 1.0::DOUBLE WHEN 'distractor' THEN 0.5::DOUBLE * s / (n * 0.5::DOUBLE) ELSE 0.0::DOUBLE END AS weight FROM ref_targets, (SELECT count(*) FILTER (category = 'sample') AS s, count(*) FILTER (category = 'distractor') AS n FROM ref_targets) WHERE category IN ('sample', 'nonsample_target', 'distractor'))"
     _LEN = "CAST(list_sum(list_transform(list_zip(regexp_extract_all(cigar, '([0-9]+)([MIDNSHP=X])', 1), regexp_extract_all(cigar, '([0-9]+)([MIDNSHP=X])', 2)), lambda x: CASE WHEN x[2] IN ('M', 'D', 'N', '=', 'X') THEN CAST(x[1] AS BIGINT) ELSE 0 END)) AS BIGINT)"
     pct = "sum(CASE WHEN depth > 0 THEN seg_end - seg_start ELSE 0 END) / CAST(sum(seg_end - seg_start) AS DOUBLE) * 100"
+    bars = lambda sql: f"UNPIVOT (SELECT sensitivity, specificity, precision, f1_score FROM ({sql})) ON sensitivity, specificity, precision, f1_score INTO NAME metric VALUE value"
+    document = lambda sql: f"""SELECT '{{"counts":{{"tp_count":' || tp_count || ',"fn_count":' || fn_count || ',"fp_total":' || fp_total || ',"tn_total":' || tn_total || '}}}}' AS document FROM ({sql})"""
     return {
+        "v2_metric_bars_all": bars(panel["a8_confusion_all"]),
+        "k9_results_json_all": document(panel["a8_confusion_all"]),
         "r2_simple_hit_scores": f"WITH {_WT}, a AS (SELECT DISTINCT ON (aln_id) * FROM sam_alignments WHERE rname <> '*' AND cigar <> '*' AND pos IS NOT NULL) SELECT qname AS probe_id, rname AS reference_id, greatest(pos - 1, 0) AS s, greatest(pos - 1, 0) + {_LEN} AS e, round(weight, 9) AS score FROM a JOIN w USING (rname) WHERE weight > 0",
         "d12_individual_coverage": f"WITH {_REFS}, {_PROBES}, best AS (SELECT probe_name, reference_id FROM spans QUALIFY row_number() OVER (PARTITION BY probe_name ORDER BY s - e, reference_id) = 1), win AS (SELECT reference_id, s, e FROM spans JOIN best USING (probe_name, reference_id)), {_segments('seg', 'spans')}, {_segments('wseg', 'win')}, a AS (SELECT reference_id, {pct} AS individual_pct FROM seg GROUP BY ALL), b AS (SELECT reference_id, {pct} AS combined_pct FROM wseg GROUP BY ALL) SELECT * FROM a JOIN b USING (reference_id)",
         "r1_target_weights": "WITH c AS (SELECT count(*) FILTER (category = 'sample') AS s, count(*) FILTER (category = 'distractor') AS n FROM ref_targets) SELECT rname AS reference_id, round(CASE category WHEN 'sample' THEN 1.0::DOUBLE WHEN 'distractor' THEN 0.5::DOUBLE * s / (n * 0.5::DOUBLE) ELSE 0.0::DOUBLE END, 9) AS weight FROM ref_targets, c WHERE category IN ('sample', 'nonsample_target', 'distractor')",

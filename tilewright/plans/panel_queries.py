@@ -101,6 +101,11 @@ def a8_confusion_metrics(spark, d):
     return N.confusion_metrics(N.group_detail(detected(spark, d).where("reads >= 40"), refs(spark, d)))
 
 
+def a8_confusion_all(spark, d, min_reads=1):
+    """a8_confusion_metrics over all detected references, or those with min_reads."""
+    return N.confusion_metrics(N.group_detail(detected(spark, d).where(F.col("reads") >= min_reads), refs(spark, d)))
+
+
 def a9_unknown_detected(spark, d):
     known = refs(spark, d).where(F.col("category").isin("sample", "nonsample_target", "distractor"))
     return detected(spark, d).join(known, "reference_id", "left_anti").select("reference_id", "reads")
@@ -147,6 +152,20 @@ def g7_species_calls(spark, d):
     return Y.call_species(edges(spark, d), owners(spark, d), detected_targets(spark, d), min_unique=30)
 
 
+def _all_targets(spark, d, min_reads):
+    return detected(spark, d).where(F.col("reads") >= min_reads).select(F.col("reference_id").alias("target_id"), "reads")
+
+
+def a29_species_evidence_all(spark, d, min_reads=1):
+    """a29_species_evidence from all detected targets, or those with min_reads."""
+    return Y.species_evidence(edges(spark, d), owners(spark, d), _all_targets(spark, d, min_reads))
+
+
+def g7_species_calls_all(spark, d, min_reads=1, min_unique=1):
+    """g7_species_calls from all detected targets, with one unique target as the least."""
+    return Y.call_species(edges(spark, d), owners(spark, d), _all_targets(spark, d, min_reads), min_unique=min_unique)
+
+
 def j15_renamed_reads(spark, d):
     return N.renamed_reads(alns(spark, d), alns(spark, d))
 
@@ -203,6 +222,7 @@ QUERIES = {
         *(a1_reads_per_reference, a2_read_mappings, a3_mapped_read_ids, j4_reads_on_sample_targets, j5_unmapped_reads, a4_count_per_source, a5_category_counts, a6_fragment_class, j8_mapping_accuracy, a7_reads_per_group),
         *(a8_confusion_metrics, a9_unknown_detected, a10_detail_rows, a11_group_detail, a12_flow_counts, j10_target_identity, j11_cross_species_edges, a19_discriminability, a20_confusion_cells, a21_panel_tiers),
         *(a29_species_evidence, j9_fragments_per_group, j15_renamed_reads, s9_groups_on_both_sides, s9_unlisted_references, s9_all_names, g7_species_calls, a17_hit_percentages, a18_probe_summary, a15_multi_mapping, a16_probes_per_target),
+        *(a8_confusion_all, a29_species_evidence_all, g7_species_calls_all),
     )
 }
 
@@ -298,3 +318,19 @@ SELECT probe_id, hit_mode, coalesce(h, 0.0) AS max_homology_pct, t AS best_hit,
     "a15_multi_mapping": "SELECT probe_name AS probe_id, count(DISTINCT target) AS num_targets, string_agg(DISTINCT target, ',' ORDER BY target) AS targets FROM probe_alns WHERE target <> '*' GROUP BY probe_name HAVING count(DISTINCT target) > 1",
     "a16_probes_per_target": "SELECT target AS target_id, count(*) AS n_probes FROM (SELECT DISTINCT probe_name, target FROM probe_alns WHERE target <> '*') GROUP BY target",
 }
+
+
+def _without(name: str, *cuts: tuple[str, str]) -> str:
+    sql = ORACLE[name]
+    for cut, instead in cuts:
+        assert cut in sql
+        sql = sql.replace(cut, instead)
+    return sql
+
+
+#: The same SQL without its cuts.
+ORACLE |= {
+    "a8_confusion_all": _without("a8_confusion_metrics", (" WHERE reads >= 40", "")),
+    "a29_species_evidence_all": _without("a29_species_evidence", (" WHERE reads >= 3", "")),
+    "g7_species_calls_all": _without("g7_species_calls", (" WHERE reads >= 3", ""), ("unique_detected >= 30", "unique_detected >= 1")),
+}
