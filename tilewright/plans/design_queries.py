@@ -169,9 +169,20 @@ def v11_key_thresholds(spark, d):
 def v12_build_steps(spark, d):
     from tilewright.plans.sequence_queries import a22_fasta_stats
 
-    by_step = Window.orderBy("step_no")  # three rows
+    return _dropped(a22_fasta_stats(spark, d))
+
+
+def v12_build_chain(spark, d):
+    """v12_build_steps of all steps of the build."""
+    from tilewright.plans.sequence_queries import a22_build_chain
+
+    return _dropped(a22_build_chain(spark, d))
+
+
+def _dropped(steps):
+    by_step = Window.orderBy("step_no")  # a row for each step
     before = F.lag("sequences").over(by_step)
-    return a22_fasta_stats(spark, d).select("step_no", "step", "sequences", (before - F.col("sequences")).alias("dropped"), F.when(before > 0, F.col("sequences") / before * 100).alias("pct_kept"))
+    return steps.select("step_no", "step", "sequences", (before - F.col("sequences")).alias("dropped"), F.when(before > 0, F.col("sequences") / before * 100).alias("pct_kept"))
 
 
 def k6_detected_list(spark, d):
@@ -193,7 +204,7 @@ QUERIES = {
     for f in (
         *(r1_target_weights, r2_hit_scores, r2_simple_hit_scores, f25_sweep_labels, d12_individual_coverage, r3_capture_fragments, r4_background_fragments, r5_pool_sizes, r6_resampled_reads, g2_greedy_cover, g3_gap_baits, g5_collapse_identical, a23_percentile_coverage, a24_median_probe_length, a28_refine_summary),
         *(g9_temperature_sweep, g9_sweep_by_parameters, v1_flow_links, v2_metric_bars, v3_top_groups, v5_worst_targets, v5_tiered_coverage, v6_pangenome_offsets, v7_coverage_gain, v10_homology_matrix, v11_key_thresholds, v12_build_steps),
-        *(k6_detected_list, k9_results_json, v2_metric_bars_all, k9_results_json_all),
+        *(k6_detected_list, k9_results_json, v2_metric_bars_all, k9_results_json_all, v12_build_chain),
     )
 }
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions import sequence as S
@@ -9,6 +12,7 @@ from tilewright.functions.alignment import paired_bases
 from tilewright.functions.sdust import dust_scores, masked_fraction, sdust, window_score
 from tilewright.functions.thermo import GAS, INITIATION, SALT, STACKS, boltzmann_score, delta_g
 from tilewright.operators import tiling
+from tilewright.operators.design import collapse_identical
 from tilewright.tables import table
 
 
@@ -59,6 +63,11 @@ def f13_window_score(spark, d):
     return reads(spark, d).where(F.length("seq") <= 64).select("aln_id", window_score("seq").alias("score"))
 
 
+def f13_window_score_all(spark, d):
+    """f13_window_score of all reads; of a longer one the first 64 bases are the window."""
+    return reads(spark, d).select("aln_id", window_score("seq").alias("score"))
+
+
 def f13_dust_scores(spark, d):
     scored = document_sequences(spark, d).select("doc_id", dust_scores("seq").alias("s"))
     return scored.select("doc_id", F.round("s.mean_score", 9).alias("mean_score"), F.round("s.mean_below", 9).alias("mean_below"))
@@ -94,6 +103,13 @@ def f27_kmer_code(spark, d):
     return reads(spark, d).select("aln_id", S.kmer_code(F.substring("seq", 1, 16)).alias("code"))
 
 
+def f27_kmer_codes_all(spark, d):
+    """(aln_id, start, code): every 16-mer of each read."""
+    starts = F.sequence(F.lit(1), F.length("seq") - 15)
+    cut = reads(spark, d).where(F.length("seq") >= 16).select("aln_id", F.posexplode(F.transform(starts, lambda i: F.substring(F.col("seq"), i, F.lit(16)))).alias("start", "kmer"))
+    return cut.select("aln_id", F.col("start").cast("long").alias("start"), S.kmer_code("kmer").alias("code"))
+
+
 def d7_tiles(spark, d):
     return tiling.tile_probes(document_sequences(spark, d), "doc_id", "seq", 120, -60)
 
@@ -113,6 +129,22 @@ def a22_fasta_stats(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def a22_build_chain(spark, d, probe_length=50, step=0):
+    """The steps of building probes from reads, in the order of the original: (step_no, step, sequences, bases).
+
+    Collapsing and deduplicating join identical texts, as collapse_identical does.
+    """
+    clean = reads(spark, d).where(S.n_fraction("seq") <= 0.1)
+    collapsed = collapse_identical(clean, "aln_id", "seq")
+    long = collapsed.where(F.length("seq") >= probe_length)
+    built = tiling.tile_probes(long, "aln_id", "seq", probe_length, step).select("probe_id", F.col("probe").alias("seq"))
+    gc = built.where(S.gc_fraction("seq").between(0.35, 0.65))
+    complex_ = gc.where(masked_fraction("seq") <= 0.1)
+    steps = [("input", reads(spark, d)), ("n_filtered", clean), ("collapsed", collapsed), ("length_filtered", long), ("built", built), ("gc_filtered", gc), ("complexity_filtered", complex_), ("deduplicated", collapse_identical(complex_, "probe_id", "seq"))]
+    count = lambda k, name, df: df.agg(F.lit(k).cast("long").alias("step_no"), F.lit(name).alias("step"), F.count(F.lit(1)).alias("sequences"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).cast("long").alias("bases"))
+    return reduce(DataFrame.unionByName, (count(k, name, df) for k, (name, df) in enumerate(steps)))
+
+
 def j12_seed_matches(spark, d):
     probes = reads(spark, d).select(F.col("aln_id").alias("probe_id"), F.col("seq").alias("probe"))
     targets = document_sequences(spark, d).select(F.col("doc_id").alias("target_id"), "seq")
@@ -126,7 +158,7 @@ def j12_both_strands(spark, d):
     return tiling.seed_matches_both_strands(probes, targets, 14, 40)
 
 
-QUERIES = {f.__name__: f for f in (f1_source_id, f2_reverse_complement, f3_hamming, f4_composition, f7_probe_filters, f10_complexity_filter, f11_sdust, f12_masked_fraction, f13_window_score, f13_dust_scores, f14_fix_n, f17_paired_bases, f18_delta_g, f19_boltzmann, f20_ct_fractions, f23_trim_reads, f27_kmer_code, d7_tiles, d8_kmers, d9_candidates, a22_fasta_stats, j12_seed_matches, j12_both_strands)}
+QUERIES = {f.__name__: f for f in (f1_source_id, f2_reverse_complement, f3_hamming, f4_composition, f7_probe_filters, f10_complexity_filter, f11_sdust, f12_masked_fraction, f13_window_score, f13_dust_scores, f14_fix_n, f17_paired_bases, f18_delta_g, f19_boltzmann, f20_ct_fractions, f23_trim_reads, f27_kmer_code, d7_tiles, d8_kmers, d9_candidates, a22_fasta_stats, j12_seed_matches, j12_both_strands, f13_window_score_all, f27_kmer_codes_all, a22_build_chain)}
 
 _R = "(SELECT DISTINCT aln_id, seq FROM sam_alignments WHERE seq <> '*')"
 _DOCS = "(SELECT doc_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM documents WHERE regexp_replace(text, '[^ACGTacgt]', '', 'g') <> '')"
