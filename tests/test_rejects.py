@@ -80,6 +80,7 @@ def test_random_lines_against_a_plain_parser(spark):
             f.insert(rng.randrange(len(f)), rng.choice(odd))
         lines.append(("\t".join(f) + rng.choice(["", "", "", "\r", "\t", "\r\r", '"']), form))
     lines += [(None, "paf"), ("", "paf"), ("\r", "blast"), ("#x", "paf"), ("# \"", "blast"), ('"', "paf"), ("\t" * 50, "paf"), ("x" * 200_000, "blast"), ('"' + "\t" * 30, "paf")]
+    rng.shuffle(lines)  # runs of quotes at line ends meet those of the next line
     got = outcome(spark, lines)
     want = [brute(line, form) for line, form in lines]
     assert [x for x in zip(lines, got, want) if x[1] != x[2]][:3] == []
@@ -98,3 +99,9 @@ def test_empty_and_repeated(spark):
     assert parse_hit_lines(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(1, "bad", "paf", "")] * 3, SCHEMA)
     assert [tuple(r) for r in rejects(parse_hit_lines(df)).collect()] == [(1, "column_count")] * 3
+
+
+def test_quotes_outside_quoted_fields_stay(spark):
+    df = spark.createDataFrame([(1, 'q""x\tt"\t120\t1\t100\t90\t100', "blast", ""), (2, '"q""x"\t"a\t""b"\t120\t1\t100\t90\t100', "blast", ""), (3, '"q""""x"\ta""\t120\t1\t100\t90\t100', "blast", "")], SCHEMA).coalesce(1)
+    got = {r.line_id: (r.query_name, r.target_name) for r in valid_records(parse_hit_lines(df), "blast").collect()}
+    assert got == {1: ('q""x', 't"'), 2: ('q"x', 'a\t"b'), 3: ('q""x', 'a""')}

@@ -38,8 +38,7 @@ class _Lines:
         place = np.arange(len(self.data))
         nonzero = np.where(digit & (self.data == 48), len(self.data), place)
         self.next_nonzero = np.minimum.accumulate(nonzero[::-1])[::-1]
-        self.quotes = np.flatnonzero(self.data == QUOTE)
-        self.tabs = np.flatnonzero(self.data == TAB)
+        self._index()
 
     def at(self, place: np.ndarray) -> np.ndarray:
         return self.data[np.minimum(place, len(self.data) - 1)]
@@ -57,86 +56,54 @@ class _Lines:
         ok &= value <= MOST
         return np.where(ok, value, 0), ok
 
-    def fields(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Fields of the lines in rows: (first field of each line, their number, content starts, ends, broken).
+    def _index(self) -> None:
+        """Which tabs delimit fields, and which lines have a broken quote, by a prefix parity of the quotes.
 
-        A mask of quotes summed up along each line (prefix parity) tells which tabs lie
-        outside quotes. That holds where each quote of odd rank opens a field or follows a
-        quote, and each of even rank is followed by a delimiter or a quote. Lines with
-        other quotes, which are ordinary characters or faults, are walked field by field,
-        all lines at once.
+        Neighbouring quotes are one run. A run of odd length that stands where a field may
+        begin turns the parity over; one of odd length elsewhere ends a quoted field or is
+        ordinary text, and leaves no quote open either way; one of even length changes
+        nothing. So a quote is open if an odd number of runs has turned the parity since the
+        line's begin or the last run that left none open: a running sum and a running
+        maximum over all quotes of the batch.
         """
-        start, end = self.start[rows], self.end[rows]
-        q0, q1 = np.searchsorted(self.quotes, start), np.searchsorted(self.quotes, end)
-        per = q1 - q0
-        line_of_q = np.repeat(np.arange(len(rows)), per)
-        qi = np.repeat(q0, per) + _ranks(per)
-        qpos, odd = self.quotes[qi], _ranks(per) % 2 == 0
-        before = np.where(qpos == start[line_of_q], TAB, self.data[np.maximum(qpos - 1, 0)])
-        after = np.where(qpos + 1 >= end[line_of_q], TAB, self.at(qpos + 1))
-        good = np.where(odd, (before == TAB) | (before == QUOTE), (after == TAB) | (after == QUOTE))
-        plain = (per % 2 == 0) & (np.bincount(line_of_q[~good], minlength=len(rows)) == 0)
+        quotes, tabs = np.flatnonzero(self.data == QUOTE), np.flatnonzero(self.data == TAB)
+        line = np.searchsorted(self.start, quotes, side="right") - 1
+        first = np.flatnonzero(np.append(True, (quotes[1:] != quotes[:-1] + 1) | (line[1:] != line[:-1]))) if len(quotes) else quotes
+        size = np.diff(np.append(first, len(quotes)))
+        at, line = quotes[first], line[first]
+        behind = at + size
+        may_open = (at == self.start[line]) | (self.data[np.maximum(at - 1, 0)] == TAB)
+        odd = size % 2 == 1
+        turns, closes = odd & may_open, odd & ~may_open
+        upto = np.cumsum(turns)
+        fresh = np.append(True, line[1:] != line[:-1])[: len(line)]
+        base = np.maximum.accumulate(np.maximum(np.where(fresh, upto - turns, 0), np.append(0, np.where(closes, upto, 0)[:-1])[: len(line)]))
+        was_open = (upto - turns - base) % 2 == 1
+        is_open = np.where(odd, ~was_open & may_open, was_open)
+        ends = (behind >= self.end[line]) | (self.at(behind) == TAB)
+        last = np.append(line[1:] != line[:-1], True)[: len(line)]
+        wrong = (~ends & np.where(was_open, odd, may_open & ~odd)) | (last & is_open)
+        self.broken = np.bincount(line[wrong], minlength=len(self.start)) > 0
+
+        of_tab = np.searchsorted(self.start, tabs, side="right") - 1
+        run = np.searchsorted(at, tabs) - 1
+        within = np.zeros(len(tabs), bool)
+        if len(at):
+            within = (run >= 0) & (line[run] == of_tab) & is_open[run]
+        self.tabs = tabs[~within]
 
+    def fields(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Fields of the lines in rows: (first field of each line, their number, content starts, ends, whether quoted)."""
+        start, end = self.start[rows], self.end[rows]
         t0, t1 = np.searchsorted(self.tabs, start), np.searchsorted(self.tabs, end)
-        tper = np.where(plain, t1 - t0, 0)
-        line_of_t = np.repeat(np.arange(len(rows)), tper)
-        tpos = self.tabs[np.repeat(t0, tper) + _ranks(tper)]
-        outside = (np.searchsorted(self.quotes, tpos) - q0[line_of_t]) % 2 == 0
-        line_of_t, tpos = line_of_t[outside], tpos[outside]
-        at_plain = np.flatnonzero(plain)
-        line = [at_plain, line_of_t]
-        fs = [start[at_plain], tpos + 1]
-        # the field that starts after a delimiter ends at the next one of its line
-        key = np.lexsort((np.concatenate(fs), np.concatenate(line)))
-        line_p, fs_p = np.concatenate(line)[key], np.concatenate(fs)[key]
-        final = np.append(line_p[1:] != line_p[:-1], True) if len(line_p) else np.zeros(0, bool)
-        fe_p = np.where(final, end[line_p], np.append(fs_p[1:] - 1, 0)) if len(line_p) else fs_p
-        quoted = (fe_p > fs_p) & (self.at(fs_p) == QUOTE)
-        fs_p, fe_p = fs_p + quoted, fe_p - quoted
-
-        line_w, fs_w, fe_w, broken = self._walk(np.flatnonzero(~plain), start, end)
-        line, fs, fe = np.concatenate([line_p, line_w]), np.concatenate([fs_p, fs_w]), np.concatenate([fe_p, fe_w])
-        key = np.lexsort((fs, line))
-        line, fs, fe = line[key], fs[key], fe[key]
-        count = np.bincount(line, minlength=len(rows))
-        return np.append(0, np.cumsum(count))[:-1], count, fs, fe, broken
-
-    def _walk(self, lines: np.ndarray, start: np.ndarray, end: np.ndarray):
-        """Fields of lines with stray quotes, one field of every line a step."""
-        broken = np.zeros(len(start), bool)
-        q = self.quotes
-        pairs_off = np.append(q[1:] != q[:-1] + 1, True)  # the quote isn't the first of two neighbours
-        closing = np.full(len(q) + 2, len(q))
-        for parity in (0, 1):
-            idx = np.arange(parity, len(q), 2)
-            cand = np.where(pairs_off[idx], idx, len(q))
-            closing[idx] = np.minimum.accumulate(cand[::-1])[::-1]
-        qpad, tpad = np.append(q, len(self.data) + 1), np.append(self.tabs, len(self.data) + 1)
-        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        at, live = start[lines], lines
-        while len(live):
-            stop = end[live]
-            quoted = (at < stop) & (self.at(at) == QUOTE)
-            opening = np.searchsorted(q, at)
-            tab = np.minimum(tpad[np.searchsorted(self.tabs, at)], stop)
-            # neighbours in the next line don't pair with this line's last quote
-            close = qpad[np.where(quoted, closing[np.minimum(opening + 1, len(q))], len(q))]
-            last_q = np.searchsorted(q, stop) - 1
-            odd_left = quoted & ((last_q - opening) % 2 == 1) & (last_q > opening)
-            close = np.where(odd_left, np.minimum(close, qpad[np.maximum(last_q, 0)]), close)
-            lost = quoted & (close >= stop)
-            bad = lost | (quoted & ~lost & (close + 1 < stop) & (self.at(close + 1) != TAB))
-            broken[live[bad]] = True
-            fe = np.where(quoted, close, tab)
-            keep = ~bad
-            got.append((live[keep], (at + quoted)[keep], fe[keep]))
-            nxt = np.where(quoted, close + 2, tab + 1)
-            # a delimiter at the very end of the line opens one more, empty, field
-            more = keep & (np.where(quoted, close + 1, tab) < stop)
-            at, live = nxt[more], live[more]
-        if not got:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), broken
-        return (*(np.concatenate([g[k] for g in got]) for k in range(3)), broken)
+        count = t1 - t0 + 1
+        first = np.cumsum(count) - count
+        line, k = np.repeat(np.arange(len(rows)), count), _ranks(count)
+        tabs = np.append(self.tabs, len(self.data))
+        fs = np.where(k == 0, start[line], tabs[np.maximum(t0[line] + k - 1, 0)] + 1)
+        fe = np.where(k == count[line] - 1, end[line], tabs[np.minimum(t0[line] + k, len(tabs) - 1)])
+        quoted = (fe > fs) & (self.at(fs) == QUOTE)
+        return first, count, fs + quoted, fe - quoted, quoted
 
 
 def _ranks(counts: np.ndarray) -> np.ndarray:
@@ -159,13 +126,13 @@ def _parse(column: pa.Array, formats: np.ndarray) -> tuple[np.ndarray, dict[str,
     reason = np.full(n, None, object)
     values: dict[str, np.ndarray] = {name: np.zeros(n, np.int64) for name, kind in RECORD if kind == "I"}
     present: dict[str, np.ndarray] = {name: np.zeros(n, bool) for name, _ in RECORD}
-    span: dict[str, tuple[np.ndarray, np.ndarray]] = {name: (np.zeros(n, np.int64), np.zeros(n, np.int64)) for name, kind in RECORD if kind != "I"}
+    span: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {name: (np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)) for name, kind in RECORD if kind != "I"}
     reason[~empty & ~np.isin(formats, ["paf", "blast"])] = "unknown_format"
     for form, columns in (("paf", PAF), ("blast", BLAST)):
         rows = np.flatnonzero(~empty & (formats == form))
         if not len(rows):
             continue
-        first, count, fs, fe, broken = lines.fields(rows)
+        first, count, fs, fe, in_quotes = lines.fields(rows)
         wrong = count < len(columns) if form == "paf" else count != len(columns)
         if form == "paf":
             extra = np.maximum(count - len(columns), 0)
@@ -174,7 +141,7 @@ def _parse(column: pa.Array, formats: np.ndarray) -> tuple[np.ndarray, dict[str,
             wrong |= np.bincount(owner[~_like_tag(lines, fs[at], fe[at])], minlength=len(rows)) > 0
         said = np.full(len(rows), "", object)
         said[wrong] = "column_count"
-        said[broken] = "broken_quote"
+        said[lines.broken[rows]] = "broken_quote"
         ok = said == ""
         first, rows = first[ok], rows[ok]
         bad = np.zeros(len(rows), bool)
@@ -188,7 +155,8 @@ def _parse(column: pa.Array, formats: np.ndarray) -> tuple[np.ndarray, dict[str,
                 bad |= e <= s
                 if kind == "S":
                     bad |= (e - s != 1) | ~np.isin(lines.at(s), (43, 45))
-                span[name][0][rows], span[name][1][rows] = s, e
+                for part, found in zip(span[name], (s, e, in_quotes[first + k])):
+                    part[rows] = found
         bad |= (got["query_start"] > got["query_end"]) | (got["query_end"] > got["query_length"])
         if form == "paf":
             bad |= (got["target_start"] > got["target_end"]) | (got["target_end"] > got["target_length"]) | (got["matching_bases"] > got["block_length"])
@@ -202,8 +170,12 @@ def _parse(column: pa.Array, formats: np.ndarray) -> tuple[np.ndarray, dict[str,
                 values[name][rows] = got[name]
     out = {name: pa.array(v, mask=~present[name]) for name, v in values.items()}
     raw = lines.data.tobytes()
-    for name, (s, e) in span.items():
-        text = [raw[a:b].decode("utf-8", "replace").replace('""', '"') if p else None for a, b, p in zip(s.tolist(), e.tolist(), present[name].tolist())]
+    for name, (s, e, quoted) in span.items():
+        here = present[name]
+        text = np.full(n, None, object)
+        text[here] = [raw[a:b].decode() for a, b in zip(s[here].tolist(), e[here].tolist())]
+        for i in np.flatnonzero(quoted & here):  # two quotes stand for one inside quotes only
+            text[i] = text[i].replace('""', '"')
         out[name] = pa.array(text, pa.string())
     return reason, out
 
@@ -218,8 +190,8 @@ def parse_hit_lines(df: DataFrame, line_id: str = "line_id", line: str = "raw_li
     rows are each parsed; extra columns are ignored; an empty table gives an empty result.
 
     The lines of an Arrow batch are indexed as one run of bytes: masks of quotes and tabs
-    give the delimiters and line ends, and counts, digits and ranges are checked for a
-    whole batch at once. There is no shuffle.
+    and a prefix parity of the quotes give the delimiters, and counts, digits and ranges are
+    checked for a whole batch at once. There is no shuffle.
     """
     id_field = df.schema[line_id]
     names = [name for name, _ in RECORD]
