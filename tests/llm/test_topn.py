@@ -46,3 +46,22 @@ def test_all_scores_equal(spark):
 def test_empty_and_few(spark):
     assert top_items(spark.createDataFrame([], SCHEMA), ["p", "m"], "s", "t", "i").count() == 0
     check(spark, [("g", "x", 1.0, None, 1, None, None)])
+
+
+def test_copies_that_differ_count_with_the_best(spark):
+    rows = [("g", "x", float(s), "t", 1, None, None) for s in range(5)] + [("g", "x", 0.5, "t", i, None, None) for i in range(2, 9)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = sorted((r.item_rank, r.i, r.s) for r in top_items(df, ["p", "m"], "s", "t", "i", 3).collect())
+    assert got == [(1, 1, 4.0), (2, 2, 0.5), (3, 3, 0.5)]
+
+
+def test_a_group_cut_by_many_boundaries(spark):
+    rows = [("hot", "x", float(i % 97), f"t{i % 7}", i, None, None) for i in range(4000)] + [(f"p{i % 300}", "x", float(i % 5), "t", 10_000 + i, None, None) for i in range(2000)]
+    check(spark, rows, n=50, parts=8)
+
+
+def test_wide_keys_and_kept_columns(spark):
+    big = 9_007_199_254_740_993
+    df = spark.createDataFrame([(big, 1.0, "t", 1, "a"), (None, 2.0, None, 2, None), (big, 3.0, "t", 3, "c")], "g long, s double, t string, i long, tie string")
+    got = sorted((str(r.g), r.item_rank, r.i, r.tie) for r in top_items(df, ["g"], "s", "t", "i", 2, keep=["tie"]).collect())
+    assert got == [(str(big), 1, 3, "c"), (str(big), 2, 1, "a"), ("None", 1, 2, None)]
