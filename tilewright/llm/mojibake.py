@@ -6,8 +6,9 @@ import codecs
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,12 @@ from tilewright.scratch import drop_table, shuffle_width, write_table
 BUCKETS = 1 << 14
 #: A word or pair of characters is kept if it makes up at least this share of all; so there are at most as many of them as the share goes into 1.
 WORD_SHARE, PAIR_SHARE = 1 / 250_000, 1 / 500_000
+#: How many times as likely, as a logarithm, a word must be when it is undone: on its own, and next to garbled ones.
+LEAST, LEAST_IN_LINE = 2.0, -3.0
+#: Ways to undo a word that are so much less likely than the best, as a logarithm, don't count.
+NEAR = 3.0
+#: Characters of a word that are counted as one.
+PIECE = 200
 
 _U1, _U2 = ("utf-8", "cp1252"), ("utf-8", "latin-1")
 _READ_UTF8_AS = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "cp1253", "cp1254", "cp1258", "koi8-r", "cp866", "iso8859-2", "iso8859-7", "iso8859-9", "gbk", "cp932")
@@ -47,11 +54,17 @@ _single_steps = dict.fromkeys(
         *((e, "utf-8") for e in ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp932", "euc_jp", "gbk", "koi8-r")),
     ]
 )
+#: Encodings that write everything in ASCII, with escapes; read as ASCII, whatever the reader takes for it.
+_ESCAPING = ("iso2022_jp", "hz", "utf-7")
 #: Chains of (written in, read in) that are told apart. The first is that of text as it was meant.
-CHAINS: list[tuple[tuple[str, str], ...]] = [(), *((step,) for step in _single_steps), *((a, b) for a in (_U1, _U2) for b in (_U1, _U2)), (_U1, _U1, _U1), (_U2, _U2, _U2)]
+CHAINS: list[tuple[tuple[str, str], ...]] = [(), *((step,) for step in _single_steps), *((a, b) for a in (_U1, _U2) for b in (_U1, _U2)), (_U1, _U1, _U1), (_U2, _U2, _U2), *(((e, "latin-1"),) for e in _ESCAPING)]
+_ESCAPED_CHAINS = [k for k, c in enumerate(CHAINS) if c and c[0][0] in _ESCAPING]
 CHAIN_NAMES = ["meant", *("+".join(f"{e}>{d}" for e, d in c) for c in CHAINS[1:])]
 
 _WORD = re.compile(r"[^ \t\r\n\f\v]*[^\x00-\x7f][^ \t\r\n\f\v]*")
+#: What the escaping encodings look like: ISO-2022-JP, HZ, UTF-7.
+_ESCAPED = re.compile(r"\x1b\$[@B](?:[!-~]{2})+\x1b\([BJ]|~\{(?:[!-}][!-~])+~\}|\+[A-Za-z0-9+/]{3,}(?:-|(?![A-Za-z0-9+/]))")
+_PASSAGE = re.compile(r"[^ \t\r\n\f\v]+")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 LOST = "�"
 _DIGITS = str.maketrans("123456789", "000000000")
@@ -63,15 +76,39 @@ def _words(text: str) -> list[str]:
     return [w.decode() for w in text.encode().translate(_DIGIT_BYTES).split() if not w.isascii()]
 
 
+def _plain(word: str) -> str:
+    """word with every digit as 0, unless its digits may be part of an escape."""
+    return word if word.isascii() else word.translate(_DIGITS)
+
+
+def _pieces(word: str) -> list[str]:
+    """A long run, such as a line in a script without blanks, cut up so that all of it is counted."""
+    return [word] if len(word) <= PIECE else [word[k : k + PIECE] for k in range(0, len(word), PIECE)]
+
+
+def _escaped(text: str) -> list[str]:
+    """The ASCII runs between blanks with an escape."""
+    if not any(sign in text for sign in ("+", "~{", "\x1b$")):
+        return []
+    return [w for w in _PASSAGE.findall(text) if w.isascii() and _ESCAPED.search(w)]
+
+
 @lru_cache(None)
 def _single(codec: str) -> tuple[str, dict[int, int]] | None:
     """The characters of a one-byte encoding and the way back. Control bytes without one stand for themselves, as in browsers; others are lost."""
-    if codec in ("utf-8", "gbk", "cp932", "euc_jp"):
+    if codec in ("utf-8", "gbk", "cp932", "euc_jp", *_ESCAPING):
         return None
     chars = "".join(bytes([b]).decode(codec, "ignore") or (chr(b) if b < 0xA0 else LOST) for b in range(256))
     return chars, {ord(c): b for b, c in enumerate(chars) if c != LOST}
 
 
+@lru_cache(None)
+def _chars(codec: str) -> frozenset[str]:
+    """The characters of a one-byte encoding, none of others."""
+    single = _single(codec)
+    return frozenset(map(chr, single[1])) if single else frozenset()
+
+
 def _to_bytes(text: str, codec: str) -> bytes | None:
     single = _single(codec)
     try:
@@ -111,30 +148,43 @@ def restore(text: str, chain: tuple[tuple[str, str], ...]) -> str | None:
     return text
 
 
+def _undo_run(run: str, chain: tuple[tuple[str, str], ...]) -> str | None:
+    """A run of characters restored, or what of it the last reading can have given."""
+    back = restore(run, chain)
+    known = _chars(chain[-1][1])
+    if back is not None or known.issuperset(run) or known.isdisjoint(run):
+        return back
+    parts = ["".join(g) for _, g in groupby(run, known.__contains__)]
+    undone = [restore(p, chain) if p[0] in known else None for p in parts]
+    return "".join(u or p for u, p in zip(undone, parts)) if any(undone) else None
+
+
 def undo(word: str, chain: tuple[tuple[str, str], ...]) -> str | None:
-    """word restored, as a whole or run by run of characters beyond ASCII; None if nothing of it can be."""
+    """word restored, as a whole or run by run of characters beyond ASCII or of escapes; None if nothing of it can be."""
     if LOST in word:
         return None
-    back = restore(word, chain)
+    escaping = chain[0][0] in _ESCAPING
+    back = None if escaping else restore(word, chain)
     if back is None:
-        undone = [restore(p, chain) for p in _RUN.findall(word)]
+        runs = _ESCAPED if escaping else _RUN
+        undone = [(restore if escaping else _undo_run)(p, chain) for p in runs.findall(word)]
         if not any(undone):
             return None
         each = iter(undone)
-        back = _RUN.sub(lambda m: next(each) or m.group(), word)
+        back = runs.sub(lambda m: next(each) or m.group(), word)
     return None if back == word or LOST in back else back
 
 
-def _pairs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the byte pairs that touch a byte outside ASCII, and where they are."""
+def _pairs(data: bytes, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the byte pairs that touch a byte outside ASCII, or of every pair, and where they are."""
     b = np.frombuffer(data, np.uint8).astype(np.int64)
     wide = b >= 0x80
-    at = np.flatnonzero(wide[:-1] | wide[1:])
+    at = np.arange(len(b) - 1) if every else np.flatnonzero(wide[:-1] | wide[1:])
     return ((b[at] << 8 | b[at + 1]) * 40503 >> 2) % BUCKETS, at
 
 
 def _features(word: str) -> np.ndarray:
-    return _pairs(f" {word} ".encode())[0]
+    return _pairs(f" {word} ".encode(), every=word.isascii())[0]
 
 
 class Usage:
@@ -157,6 +207,11 @@ class Usage:
         own = self.words.get(word, 0.0) / self.total
         return max(sum_log, math.log(own)) if own else sum_log
 
+    def familiar(self, word: str) -> float:
+        """Share of the pairs of characters with one beyond ASCII that are in use."""
+        pairs = [a + b for a, b in zip(f" {word}", f"{word} ") if a > "\x7f" or b > "\x7f"]
+        return sum(p in self.pairs for p in pairs) / max(1, len(pairs))
+
 
 class Classifier:
     """Multinomial model of hashed byte pairs: for each chain, of garbled words and of the same words as they were."""
@@ -165,7 +220,7 @@ class Classifier:
         # a bucket's numbers lie together
         self.garbled, self.meant = np.ascontiguousarray(garbled.T), np.ascontiguousarray(meant.T)
         self.usage, self.odds, self.gain = usage, odds, gain
-        self.known: dict[str, tuple[int, float, tuple[int, ...]]] = {}
+        self.known: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
 
     def log_odds(self, word: str) -> np.ndarray:
         """Of each chain, against the word's being meant, in the words that the chain can garble or in all."""
@@ -173,11 +228,11 @@ class Classifier:
         meant = self.meant[f].sum(axis=0)
         return self.garbled[f].sum(axis=0) - np.maximum(meant, meant[0])
 
-    def judge(self, word: str) -> tuple[int, float, tuple[int, ...]]:
-        """(chain, how many times as likely, as a logarithm, it is that the chain garbled the word, all chains that undo it to the same text); chain 0: as meant. Digits don't matter."""
-        return self.judge_plain(word.translate(_DIGITS))
+    def judge(self, word: str) -> list[tuple[float, tuple[int, ...]]]:
+        """The ways to read the word that are worth it, the best first: how many times as likely as it is (a logarithm), and the chains that undo it so. Digits don't matter."""
+        return self.judge_plain(_plain(word))
 
-    def judge_plain(self, word: str) -> tuple[int, float, tuple[int, ...]]:
+    def judge_plain(self, word: str) -> list[tuple[float, tuple[int, ...]]]:
         """judge, of a word whose digits are 0 already."""
         if (got := self.known.get(word)) is None:
             got = self._judge(word)
@@ -187,42 +242,73 @@ class Classifier:
                 self.known[word] = got
         return got
 
-    def _judge(self, word: str) -> tuple[int, float, tuple[int, ...]]:
+    def _judge(self, word: str) -> list[tuple[float, tuple[int, ...]]]:
         odds = self.log_odds(word)
         likely = [int(k) for k in np.argsort(-odds, kind="stable") if k and odds[k] > self.odds]
         if LOST in word:
-            return (k := (likely or [1])[0]), math.inf, (k,)
-        meant, best = self.usage.log_p(word), (0, 0.0)
+            return [(math.inf, ((likely or [1])[0],))]
         undone: dict[str, list[int]] = {}
         for k in likely:
             if CHAINS[k][-1][1] == "utf-8":  # what is no UTF-8 is lost when it is read so
                 continue
-            back = undo(word, CHAINS[k])
-            if back is None:
-                continue
-            if back not in undone and (gain := self.usage.log_p(back) - meant) > best[1]:
-                best = (k, gain)
-            undone.setdefault(back, []).append(k)
-        k, gain = best
-        if k and CHAINS[k][0][0] != "utf-8":  # almost any bytes are valid in these, so one of many texts is likely by chance
-            gain -= math.log(len(undone))
-        return k, gain, next((tuple(like) for like in undone.values() if k in like), ())
-
-    def faults(self, words: list[str], alone: float = 2.5) -> dict[str, int]:
-        """The garbled ones of a document's words, with their chain.
-
-        Each chain's words must together be beyond doubt; a word counts for all chains that
-        undo it to the same text. A word that is valid UTF-8 when it is undone needs alone
-        only: text that was meant is hardly ever valid.
+            if (back := undo(word, CHAINS[k])) is not None and (k not in _ESCAPED_CHAINS or self.usage.familiar(back) >= 0.75):
+                undone.setdefault(back, []).append(k)
+        if not undone:
+            return []
+        meant, chance = self.usage.log_p(word), math.log(len(undone))
+        # almost any bytes are valid in encodings other than UTF-8, so one of many texts is likely by chance
+        ways = [(self.usage.log_p(back) - meant - chance * (CHAINS[like[0]][0][0] != "utf-8"), tuple(like)) for back, like in undone.items()]
+        ways.sort(key=lambda w: -w[0])
+        return [w for w in ways if w[0] > max(LEAST, ways[0][0] - NEAR)]
+
+    def suspect(self, words: Iterable[str]) -> bool:
+        """Whether any of a document's words, whose digits are 0, is worth a closer look."""
+        return any(self.judge_plain(w) for w in words)
+
+    def faults(self, lines: Sequence[Sequence[str]], alone: float = 2.5) -> list[dict[str, int]]:
+        """The garbled ones of a document's words, line by line, with their chain.
+
+        A chain is named for a document if its words together put it beyond doubt, the
+        likeliest chain first; a word counts for all chains that undo it to the same text. A
+        word that is valid UTF-8 when it is undone needs alone only: text that was meant is
+        hardly ever valid. In a line with a garbled word, others that its chain undoes are
+        taken as garbled too, unless they are much likelier as they are.
         """
-        judged = {w: got for w in set(words) if (got := self.judge(w))[0] and got[1] > 2.0}
-        weight: Counter = Counter()
-        for _, gain, like in judged.values():
-            for k in like:
-                weight[k] += gain
-        # like encodings undo the same words: the document's commonest is named
-        named = {w: max(like, key=lambda c: (weight[c], c == k)) for w, (k, _, like) in judged.items()}
-        return {w: k for w, k in named.items() if weight[k] > self.gain or (judged[w][1] > alone and CHAINS[judged[w][0]][0][0] == "utf-8")}
+        ways = {w: self.judge(w) for w in {w for line in lines for w in line}}
+        left = {w: found for w, found in ways.items() if found}
+        named: dict[str, int] = {}
+        while left:
+            weight: Counter = Counter()
+            for found in left.values():
+                best = {}
+                for gain, like in found:
+                    for k in like:
+                        best[k] = max(best.get(k, 0.0), gain)
+                weight.update(best)
+            k = max(weight, key=lambda c: (weight[c], -c))
+            if weight[k] <= self.gain:
+                break
+            own = [w for w, found in left.items() if any(k in like for _, like in found)]
+            for w in own:
+                named[w] = k
+                del left[w]
+        named |= {w: found[0][1][0] for w, found in left.items() if found[0][0] > alone and CHAINS[found[0][1][0]][0][0] == "utf-8"}
+        out = []
+        for line in lines:
+            mine = {w: named[w] for w in line if w in named}
+            weight = Counter()
+            for w, k in mine.items():
+                weight[k] += max(gain for gain, like in ways[w] if k in like)
+            if mine and (most := max(weight, key=lambda c: (weight[c], -c))):
+                mine |= {w: most for w in set(line) if mine.get(w) != most and self.gain_of(w, most) > LEAST_IN_LINE}
+            out.append(mine)
+        return out
+
+    def gain_of(self, word: str, k: int) -> float:
+        """How many times as likely, as a logarithm, the word is when the chain is undone; minus infinity if it can't be."""
+        word = _plain(word)
+        back = undo(word, CHAINS[k])
+        return -math.inf if back is None else self.usage.log_p(back) - self.usage.log_p(word)
 
 
 def _counts(words: Counter) -> Iterator[tuple[int, bool, np.ndarray]]:
@@ -239,9 +325,9 @@ def _counts(words: Counter) -> Iterator[tuple[int, bool, np.ndarray]]:
             continue
         for garbled, texts in ((True, forms), (False, kept)):
             data = [f" {texts[i]} ".encode() for i in use]
-            found, at = _pairs(b"".join(data))
+            found, at = _pairs(b"".join(data), every=garbled and k in _ESCAPED_CHAINS)
             per_byte = np.repeat(weight[use], [len(x) for x in data])
-            yield k, garbled, np.bincount(found, weights=per_byte[at], minlength=BUCKETS)
+            yield k, garbled, np.bincount(found, weights=per_byte[at], minlength=BUCKETS).astype(float)  # whole numbers if there is no pair
 
 
 def _fit(docs: DataFrame, text: str, in_sample: Column, before: Classifier | None, least_docs: float, odds: float, gain: float, background: float = 0.1) -> Classifier:
@@ -257,8 +343,8 @@ def _fit(docs: DataFrame, text: str, in_sample: Column, before: Classifier | Non
             for value, is_sampled in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if value and not value.isascii():
                     own = set(_words(value))
-                    faulty = before.faults(own) if before and any(before.judge_plain(w)[1] > 2.0 for w in own) else ()
-                    kept = [w for w in own if w not in faulty and len(w) <= 400]
+                    faulty = before.faults([own])[0] if before and before.suspect(own) else ()
+                    kept = {p for w in own if w not in faulty for p in _pieces(w)}
                     found.update(kept)
                     if is_sampled:
                         sampled.update(kept)
@@ -305,6 +391,23 @@ def _frequent(counts: DataFrame, key: str, share: float, least: float) -> dict[s
     return dict(zip(some[key], some["n"].astype(float)))
 
 
+def _hash_below(key: Column, share: float) -> Column:
+    """True for about the given share of the keys, however small: a hash of 63 bits is compared."""
+    return F.xxhash64(key).bitwiseAND(F.lit((1 << 63) - 1)) < F.lit(min((1 << 63) - 1, int(share * (1 << 63))))
+
+
+_last_fit: list[tuple[DataFrame, str, str, Classifier]] = []
+
+
+def _fitted(docs: DataFrame, doc_id: str, text: str) -> Classifier:
+    """The classifier of these documents, fitted once a session for the same table."""
+    for known, *columns, model in _last_fit:
+        if columns == [doc_id, text] and known.sparkSession is docs.sparkSession and known.sameSemantics(docs):
+            return model
+    _last_fit[:] = [(docs, doc_id, text, train_classifier(docs, doc_id, text))]
+    return _last_fit[0][-1]
+
+
 def train_classifier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 20_000, odds: float = 0.0, gain: float = 8.0) -> Classifier:
     """Fit the chain classifier on texts of docs and on synthetically garbled forms of them.
 
@@ -315,8 +418,7 @@ def train_classifier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     which knows as words only those of many documents, and are left out of the second.
     """
     n = docs.count()
-    share = min(1.0, sample_docs / max(1, n))
-    in_sample = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1_000_000)) < int(share * 1_000_000)
+    in_sample = _hash_below(F.col(doc_id), min(1.0, sample_docs / max(1, n)))
     first = _fit(docs, text, in_sample, None, max(3.0, 0.0025 * n), odds, 0.75 * gain)
     return _fit(docs, text, in_sample, first, 3.0, odds, gain)
 
@@ -324,37 +426,41 @@ def train_classifier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 def find_garbled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classifier: Classifier | None = None) -> DataFrame:
     """(doc_id, chain, n_passages, n_restored, restored): documents with a passage read in a wrong encoding.
 
-    A passage is a run of characters between blanks with one beyond ASCII. The classifier
-    names the likely chains of encodings; a chain is inverted, which must succeed strictly
-    byte by byte, and the outcome must be many times likelier, as text that was meant, than
-    the passage is; the evidence of a document's passages for one chain adds up, and a
-    passage that becomes valid UTF-8 needs less of it. Passages
-    with a replacement character are found though they can't be restored. chain is the commonest of the document; restored is the
-    text with the restorable passages put right, the others as they are. Null, empty and
-    ASCII texts have no passage and give no row. Repeated rows are judged each; other
-    columns don't matter; an empty table gives an empty result. Texts are judged whole, and
-    nothing is shuffled.
+    A passage is a run of characters between blanks with one beyond ASCII, or with an escape
+    of an encoding that writes in ASCII. The classifier predicts the chains of encodings; a
+    chain is inverted, which must succeed strictly byte by byte, and is rejected unless the
+    outcome is many times likelier, as text that was meant, than the passage is. The evidence
+    of a document's passages for one chain adds up, and a passage that becomes valid UTF-8
+    needs less of it. Passages with a replacement character are found though they can't be
+    restored. chain is the commonest of the document; restored is the text with the
+    restorable passages put right, the others as they are. Null and empty texts, and ASCII
+    texts without an escape, have no passage and give no row. Repeated rows are judged each;
+    other columns don't matter; an empty table gives an empty result. Texts are judged
+    whole, and nothing is shuffled. Without a classifier one is fitted on docs, once a session.
     """
-    model = docs.sparkSession.sparkContext.broadcast(classifier or train_classifier(docs, doc_id, text))
+    model = docs.sparkSession.sparkContext.broadcast(classifier or _fitted(docs, doc_id, text))
     shape = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("chain", T.StringType()), T.StructField("n_passages", T.LongType()), T.StructField("n_restored", T.LongType()), T.StructField("restored", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge, faults_of = model.value.judge_plain, model.value.faults
+        judges = model.value
         for batch in batches:
             rows: list[tuple] = []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not value or value.isascii():
-                    continue
-                if all(judge(w)[1] <= 2.0 for w in set(_words(value))):
+                if not value or not (judges.suspect(set(_escaped(value))) or not value.isascii() and judges.suspect(set(_words(value)))):
                     continue
-                words = _WORD.findall(value)
-                faults = faults_of(words)
-                if not faults:
+                lines = value.split("\n")
+                words = [_WORD.findall(line) + _escaped(line) for line in lines]
+                faults = judges.faults(words)
+                chains = Counter(k for own, bad in zip(words, faults) for w in own if (k := bad.get(w)))
+                if not chains:
                     continue
-                put_right = {w: back for w, k in faults.items() if (back := undo(w, CHAINS[k])) is not None}
-                fixed = _WORD.sub(lambda m: put_right.get(m.group(), m.group()), value)
-                chain = Counter(faults.values()).most_common(1)[0][0]
-                rows.append((key, CHAIN_NAMES[chain], sum(w in faults for w in words), sum(w in put_right for w in words), fixed))
+                restored = 0
+                for n, (own, bad) in enumerate(zip(words, faults)):
+                    if bad:
+                        put_right = {w: back for w, k in bad.items() if (back := undo(w, CHAINS[k])) is not None}
+                        restored += sum(w in put_right for w in own)
+                        lines[n] = _PASSAGE.sub(lambda m: put_right.get(m.group(), m.group()), lines[n])
+                rows.append((key, CHAIN_NAMES[chains.most_common(1)[0][0]], chains.total(), restored, "\n".join(lines)))
             if rows:
                 yield pa.RecordBatch.from_pydict({f.name: [r[i] for r in rows] for i, f in enumerate(shape)}, schema=pa.schema([batch.schema.field(0).with_name("doc_id"), ("chain", pa.string()), ("n_passages", pa.int64()), ("n_restored", pa.int64()), ("restored", pa.string())]))
 
