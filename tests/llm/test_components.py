@@ -49,3 +49,8 @@ def test_no_links(spark):
     check(spark, [])
     check(spark, [("a", "a"), (None, None)])
     check(spark, [("b", "a")])
+
+
+def test_heavy_ids_are_cut_in_every_join(spark):
+    pairs = [("hub", f"s{i:04d}") for i in range(900)] + [(f"s{i:04d}", f"t{i:04d}") for i in range(900)] + [(f"c{i:04d}", f"c{i + 1:04d}") for i in range(200)]
+    check(spark, pairs, cell_pairs=60, per_slice=40)

@@ -3,7 +3,9 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from tilewright.llm.bpe import count_tokens
 from tilewright.llm.packing import configurations, pack_items
 
 SCHEMA = "doc_id string, n_tokens int, container_id string, s long"
@@ -77,3 +79,13 @@ def test_configurations_cover_exactly():
         plan = configurations(width, need, 100)
         assert (sum(t * c for t, c in plan) == need).all() and all((c * width).sum() <= 100 for _, c in plan)
         assert sum(t for t, _ in plan) <= np.ceil((need * width).sum() / 100) * 1.35 + len(width)
+
+
+def test_fill_of_the_documents(spark):
+    """Tokens of real texts: hardly more containers than their sum needs, or than best fit decreasing takes."""
+    sized = count_tokens(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), "/opt/tokenizers/byte_bpe_50k.json").persist()
+    sizes = [(r.doc_id, r.n_tokens) for r in sized.collect()]
+    used = pack_items(sized, capacity=2048).where("piece_size > 0").agg(F.countDistinct("container_id")).first()[0]
+    sized.unpersist()
+    least = -(-sum(n or 0 for _, n in sizes) // 2048)
+    assert used <= 1.01 * least + 1 and used <= 1.003 * best_fit_decreasing(sizes, 2048) + 1

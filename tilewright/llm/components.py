@@ -43,7 +43,7 @@ def _cell_components(cell: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"v": names, "rep": names[rep]})
 
 
-def connected_groups(pairs: DataFrame, a: str, b: str, cell_pairs: int = 50_000, most_blocks: int = 256) -> DataFrame:
+def connected_groups(pairs: DataFrame, a: str, b: str, cell_pairs: int = 50_000, most_blocks: int = 256, per_slice: int = 1_000_000) -> DataFrame:
     """(group_id, member): every id that is linked to another, with the smallest id of its group.
 
     pairs: one row per match, in any direction and any number of times. Rows with a null id
@@ -59,7 +59,7 @@ def connected_groups(pairs: DataFrame, a: str, b: str, cell_pairs: int = 50_000,
     ids shrinks by a constant factor a round as well. Once no pair is left the parents are
     stable, and the rounds are unwound from the last to the first.
 
-    cell_pairs bounds the work of a task; B grows with the root of the number of pairs, at
+    cell_pairs bounds the work of a task, per_slice the rows of one id in any join; B grows with the root of the number of pairs, at
     most to most_blocks, after which cells only get more slices. Nothing is collected. Each
     round is a written table, so lineage stays short; a level's pairs are deleted as soon as
     the next level stands.
@@ -81,7 +81,8 @@ def connected_groups(pairs: DataFrame, a: str, b: str, cell_pairs: int = 50_000,
         levels.append(level.select("v", "p"))
         links = level.select("p", F.explode("reps").alias("rep")).distinct()
         above = level.select(F.col("v").alias("rep"), F.col("p").alias("q"))
-        linked = links.join(above, "rep").where("p <> q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct()
+        # a representative that very many parents share is one of the heavy keys
+        linked = salted_join(links, above, ["rep"], links.groupBy("rep").agg(F.count(F.lit(1)).alias("n")), "n", per_slice).where("p <> q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct()
         following, following_at = write_table(linked, "pairs")
         drop_table(spark, edges_at)
         edges, edges_at = following, following_at
@@ -89,14 +90,14 @@ def connected_groups(pairs: DataFrame, a: str, b: str, cell_pairs: int = 50_000,
     # parents of level 0 with the final representative of each
     top = levels[-1].select("v", F.col("p").alias("root"))
     for level in reversed(levels[1:-1]):
-        top = level.join(top.withColumnRenamed("v", "p"), "p", "left").select("v", F.coalesce("root", "p").alias("root"))
+        top = salted_join(level, top.withColumnRenamed("v", "p"), ["p"], level.groupBy("p").agg(F.count(F.lit(1)).alias("n")), "n", per_slice).select("v", F.coalesce("root", "p").alias("root"))
     first = levels[0].withColumn("member", F.substring("v", 9, 1_000_000))
     parents = first.groupBy("p").agg(F.min("member").alias("least"), F.count(F.lit(1)).alias("n"))
     if len(levels) > 1:
         parents = parents.join(top.withColumnRenamed("v", "p"), "p", "left").withColumn("root", F.coalesce("root", "p"))
         named = parents.groupBy("root").agg(F.min("least").alias("group_id"))
-        parents = salted_join(parents, named, ["root"], parents.groupBy("root").agg(F.count(F.lit(1)).alias("m")), "m")
+        parents = salted_join(parents, named, ["root"], parents.groupBy("root").agg(F.count(F.lit(1)).alias("m")), "m", per_slice)
     else:
         parents = parents.withColumn("group_id", F.col("least"))
     parents = write_table(parents.select("p", "group_id", "n"), "parents")[0]
-    return salted_join(first.select("p", "member"), parents.select("p", "group_id"), ["p"], parents, "n").select("group_id", "member")
+    return salted_join(first.select("p", "member"), parents.select("p", "group_id"), ["p"], parents, "n", per_slice).select("group_id", "member")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -45,12 +46,14 @@ def _best_filling(value: np.ndarray, width: np.ndarray, capacity: int) -> tuple[
     return float((counts * value).sum()), counts
 
 
-def configurations(width: np.ndarray, need: np.ndarray, capacity: int, rounds: int = 2000) -> list[tuple[int, np.ndarray]]:
+def configurations(width: np.ndarray, need: np.ndarray, capacity: int, rounds: int = 20_000) -> list[tuple[int, np.ndarray]]:
     """[(times, counts per width)] that together hold exactly need items of each width.
 
     The linear relaxation over all configurations is solved by column generation (a basis
     of as many configurations as widths; the next one is the best filling at the current
-    prices). Its whole part is taken; the few items left go first-fit into more.
+    prices). Its whole part is taken; the few items left go first-fit into more. Rounding
+    errors could make it turn in circles, so it ends after the given number of rounds with a
+    warning; the plan is valid then, but may take more containers.
     """
     k = len(width)
     basis = [np.eye(k, dtype=np.int64)[i] * min(capacity // int(width[i]), max(1, int(need[i]))) for i in range(k)]
@@ -70,6 +73,8 @@ def configurations(width: np.ndarray, need: np.ndarray, capacity: int, rounds: i
         inverse[out] = row
         if step % 50 == 49:
             inverse = np.linalg.inv(np.array(basis, float).T)
+    else:
+        warnings.warn(f"the programme over configurations was not solved in {rounds} rounds", RuntimeWarning, stacklevel=2)
     amounts = np.floor(np.maximum(inverse @ need, 0) + 1e-6).astype(np.int64)
     plan, left = [], need.astype(np.int64).copy()
     for column, times in zip(basis, amounts):

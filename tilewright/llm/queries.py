@@ -14,9 +14,11 @@ from tilewright.tables import table
 
 __all__ = ["ORACLE", "QUERIES"]
 
-#: Where the files of the public tokenizers lie.
-TOKENIZERS = "/opt/tokenizers"
-BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+
+
+def tokenizer_file(spark, name: str = "byte_bpe_50k.json") -> str:
+    """A file of the public tokenizers, in the folder that spark.tilewright.tokenizers names."""
+    return f"{spark.conf.get('spark.tilewright.tokenizers', '/opt/tokenizers')}/{name}"
 
 
 def target_id(c):
@@ -42,11 +44,11 @@ def p5_best_hit(spark, d):
 
 
 def p6_ids(spark, d):
-    return encode_texts(table(spark, d, "documents"), BPE)
+    return encode_texts(table(spark, d, "documents"), tokenizer_file(spark))
 
 
 def p7_containers(spark, d):
-    packed = pack_items(count_tokens(table(spark, d, "documents"), BPE), capacity=2048)
+    packed = pack_items(count_tokens(table(spark, d, "documents"), tokenizer_file(spark)), capacity=2048)
     return packed.select("container_id", "doc_id", "piece_no", F.col("piece_start").alias("token_start"), F.col("piece_size").alias("n_tokens"))
 
 
