@@ -65,6 +65,7 @@ _WORD = re.compile(r"[^ \t\r\n\f\v]*[^\x00-\x7f][^ \t\r\n\f\v]*")
 #: What the escaping encodings look like: ISO-2022-JP, HZ, UTF-7.
 _ESCAPED = re.compile(r"\x1b\$[@B](?:[!-~]{2})+\x1b\([BJ]|~\{(?:[!-}][!-~])+~\}|\+[A-Za-z0-9+/]{3,}(?:-|(?![A-Za-z0-9+/]))")
 _PASSAGE = re.compile(r"[^ \t\r\n\f\v]+")
+_CONTROL = re.compile("[\x00-\x1f\x7f-\x9f]")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 LOST = "�"
 _DIGITS = str.maketrans("123456789", "000000000")
@@ -143,7 +144,7 @@ def restore(text: str, chain: tuple[tuple[str, str], ...]) -> str | None:
         data = _to_bytes(text, read)
         text = None if data is None else _read(data, written, strict=True)
         # control characters aren't written in texts
-        if text is None or any(c < " " or "\x7f" <= c <= "\x9f" for c in text) and len(chain) == 1:
+        if text is None or len(chain) == 1 and _CONTROL.search(text):
             return None
     return text
 
@@ -197,13 +198,21 @@ class Usage:
             self.first[pair[0]] += n
             self.char[pair[1]] += n
         self.chars = sum(self.char.values()) + 1e5
+        self.seen: dict[tuple[str, str], float] = {}
+
+    def _log_pair(self, pair: tuple[str, str]) -> float:
+        last, c = pair
+        base = (self.char.get(c, 0.0) + 0.02) / self.chars
+        if len(self.seen) > 500_000:
+            self.seen.clear()
+        got = self.seen[pair] = math.log((self.pairs.get(last + c, 0.0) + 20.0 * base) / (self.first.get(last, 0.0) + 20.0))
+        return got
 
     def log_p(self, word: str) -> float:
-        sum_log, last = 0.0, " "
-        for c in f"{word} ":
-            base = (self.char.get(c, 0.0) + 0.02) / self.chars
-            sum_log += math.log((self.pairs.get(last + c, 0.0) + 20.0 * base) / (self.first.get(last, 0.0) + 20.0))
-            last = c
+        seen, sum_log = self.seen, 0.0
+        for pair in zip(f" {word}", f"{word} "):
+            got = seen.get(pair)
+            sum_log += self._log_pair(pair) if got is None else got
         own = self.words.get(word, 0.0) / self.total
         return max(sum_log, math.log(own)) if own else sum_log
 
