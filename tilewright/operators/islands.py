@@ -82,7 +82,7 @@ def islands_and_gaps(df: DataFrame, entity: str, start: str, end: str, partition
     start. The summaries number as many as the partitions, whatever the data.
     """
     spark = df.sparkSession
-    n = partitions or shuffle_width(spark)
+    n = partitions or shuffle_width(spark, df)
     kind = df.schema[entity].dataType
     spans = df.select(F.col(entity).alias("entity"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")).dropna().where("s < e")
     # copies, and spans from one start, are folded before the range exchange: a start is one row then, so any entity can be cut

@@ -49,7 +49,7 @@ def running_totals(df: DataFrame, key: str, at: str, value: str, partitions: int
     reaches in from the partitions before is added from one summary row per partition.
     prev_at and prev_total are null on a key's first row. Rows with a null are dropped.
     """
-    n = partitions or shuffle_width(df.sparkSession)
+    n = partitions or shuffle_width(df.sparkSession, df)
     rows = df.select(F.col(key).alias("key"), F.col(at).cast("long").alias("at"), F.col(value).cast("long").alias("value")).dropna()
     shape = T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("key", df.schema[key].dataType), *(T.StructField(c, T.LongType()) for c in _NAMES[2:])])
     local = materialize(rows.repartitionByRange(n, "key", "at").sortWithinPartitions("key", "at").mapInArrow(_local_totals, shape), "totals")
@@ -79,7 +79,7 @@ def global_rank(df: DataFrame, by: list[str], name: str = "ranked") -> DataFrame
     Rows are range partitioned and sorted; the partitions' row counts, as many rows as
     partitions, are summed up in order. Rows that are equal in by come in any order.
     """
-    n = shuffle_width(df.sparkSession)
+    n = shuffle_width(df.sparkSession, df)
     rows = materialize(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_mid", F.monotonically_increasing_id()), name)
     pid = F.shiftright("_mid", 33)  # the partition, which the ids carry above their 33 low bits
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

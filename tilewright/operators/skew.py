@@ -37,7 +37,7 @@ def range_split_aggregate(
     matter. With unique, aggs must depend on columns that the copies share; they are
     taken from an arbitrary copy.
     """
-    n = partitions or shuffle_width(df.sparkSession)
+    n = partitions or shuffle_width(df.sparkSession, df)
     rows = df.dropna(subset=[*keys, *order] if unique else [*keys])
     if unique:
         rows = rows.dropDuplicates([*keys, *order])
