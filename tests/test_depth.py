@@ -66,3 +66,16 @@ def test_low_coverage_regions_are_widened_and_clipped(spark):
     seg = spark.createDataFrame([("a", 0, 2, 0), ("a", 2, 50, 9), ("a", 50, 52, 1), ("a", 52, 100, 9), ("b", 0, 5, 0), ("c", 0, 40, 0), ("c", 40, 60, 7)], "reference_id string, seg_start long, seg_end long, depth long")
     got = sorted(tuple(x) for x in D.low_coverage_regions(seg, 2, 10).collect())
     assert got == [("a", 0, 10), ("a", 46, 56), ("b", 0, 5), ("c", 0, 40)]
+
+
+def test_lengths_meet_heavy_references_in_slices(spark):
+    seg = spark.createDataFrame([("a", i, i + 1, i % 3) for i in range(60)] + [("b", 0, 7, 0)], "reference_id string, seg_start long, seg_end long, depth long")
+    got = D.with_length(seg, seg, per_slice=8).collect()
+    assert len(got) == 61 and {(x.reference_id, x.len) for x in got} == {("a", 60), ("b", 7)}
+
+
+def test_deep_steps_are_filled_in_stretches(spark):
+    seg = spark.createDataFrame([("a", 0, 10, 25_003), ("a", 10, 20, 5)], "reference_id string, seg_start long, seg_end long, depth long")
+    got = {x.depth_threshold: x.pct_covered for x in D.depth_curves(seg).collect()}
+    assert len(got) == 25_003 and got[5] == 100.0 and got[6] == got[25_003] == 50.0
+    assert sorted(x.depth_threshold for x in D.depth_curves(seg, most=7).collect()) == [1, 2, 3, 4, 5, 6, 7]

@@ -48,18 +48,24 @@ def n_fraction(seq: Column | str) -> Column:
     return _share(F.length(col(seq)) - _count(seq, "ACGTacgt"), F.length(col(seq)))
 
 
-def _distance(a: str | None, b: str | None) -> int | None:
-    if a is None or b is None:
-        return None
-    n = min(len(a), len(b))
-    x, y = (np.frombuffer(t[:n].upper().encode("ascii", "replace"), np.uint8) for t in (a, b))
-    return int(n - np.count_nonzero((x == y) & (x != ord("N"))))
+def _letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of all texts laid end to end, in upper case, and the length of each."""
+    size = np.array([len(t) if t else 0 for t in texts], np.int64)
+    data = np.frombuffer("".join(t for t in texts if t).encode("ascii", "replace"), np.uint8)
+    return np.where((data >= 97) & (data <= 122), data - 32, data), size
 
 
 @F.pandas_udf(T.IntegerType())
 def _hamming_n(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in batches:
-        yield pd.Series([_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
+    for one, two in batches:
+        (a, n_a), (b, n_b) = _letters(list(one)), _letters(list(two))
+        n = np.minimum(n_a, n_b)
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        x, y = a[np.repeat(np.cumsum(n_a) - n_a, n) + k], b[np.repeat(np.cumsum(n_b) - n_b, n) + k]
+        unlike = np.append(0, np.cumsum((x != y) | (x == ord("N"))))
+        end = np.cumsum(n)
+        found = pd.Series(unlike[end] - unlike[end - n], dtype="Int32")
+        yield found.mask((one.isna() | two.isna()).reset_index(drop=True))
 
 
 def hamming_n(a: Column | str, b: Column | str) -> Column:

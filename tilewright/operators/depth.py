@@ -5,15 +5,20 @@ Intervals are 0-based and half-open. References come as (reference_id, ref_lengt
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions.alignment import SECONDARY, SUPPLEMENTARY, aligned_blocks
 from tilewright.operators.islands import islands_and_gaps
 from tilewright.operators.running import running_totals
+from tilewright.operators.skew import salted_join
 
 
 _MARK = 1 << 40
+#: Thresholds of a depth curve that are made by one row.
+STRETCH = 10_000
 
 
 def mapped(alns: DataFrame, secondary: bool = False, supplementary: bool = False) -> DataFrame:
@@ -68,12 +73,28 @@ def depth_histogram(segments: DataFrame) -> DataFrame:
     return segments.groupBy("reference_id", "depth").agg(F.sum(F.col("seg_end") - F.col("seg_start")).alias("bases"))
 
 
+def lengths(segments: DataFrame) -> DataFrame:
+    """(reference_id, len, n): length and number of segments of each reference."""
+    return segments.groupBy("reference_id").agg(F.max("seg_end").alias("len"), F.count(F.lit(1)).alias("n"))
+
+
+def with_length(rows: DataFrame, segments: DataFrame, per_slice: int = 1_000_000) -> DataFrame:
+    """rows (reference_id, ..), no more of a reference than it has segments, with its length as len; references with very many are cut into slices."""
+    known = lengths(segments)
+    return salted_join(rows, known.select("reference_id", "len"), ["reference_id"], known, "n", per_slice)
+
+
 def near_covered(segments: DataFrame, proximity: int) -> DataFrame:
-    """(reference_id, near_bases): bases within proximity of a covered one."""
-    length = segments.groupBy("reference_id").agg(F.max("seg_end").alias("len"))
-    wide = segments.where("depth > 0").join(length, "reference_id").select("reference_id", F.greatest(F.col("seg_start") - proximity, F.lit(0).cast("long")).alias("s"), F.least(F.col("seg_end") + proximity, F.col("len")).alias("e"))
+    """(reference_id, near_bases): bases within proximity of a covered one.
+
+    Only a reference's last stretch can reach over its end, so what is over is taken off
+    the sum; lengths meet references after these are one row each.
+    """
+    wide = segments.where("depth > 0").select("reference_id", F.greatest(F.col("seg_start") - proximity, F.lit(0).cast("long")).alias("s"), (F.col("seg_end") + proximity).alias("e"))
     merged = islands_and_gaps(wide, "reference_id", "s", "e").where("seg_kind = 'period'")
-    return merged.groupBy("reference_id").agg(F.sum(F.col("seg_end") - F.col("seg_start")).alias("near_bases"))
+    near = merged.groupBy("reference_id").agg(F.sum(F.col("seg_end") - F.col("seg_start")).alias("bases"), F.max("seg_end").alias("last"))
+    over = F.greatest(F.col("last") - F.col("len"), F.lit(0).cast("long"))
+    return near.join(lengths(segments), "reference_id").select("reference_id", (F.col("bases") - over).alias("near_bases"))
 
 
 def probe_coverage_stats(segments: DataFrame, proximity: int = 100) -> DataFrame:
@@ -103,8 +124,7 @@ def probe_coverage_stats(segments: DataFrame, proximity: int = 100) -> DataFrame
 
 def gap_regions(segments: DataFrame, min_length: int = 1) -> DataFrame:
     """(reference_id, gap_start, gap_end, gap_length, is_terminal): maximal runs without depth."""
-    length = segments.groupBy("reference_id").agg(F.max("seg_end").alias("len"))
-    gaps = segments.where((F.col("depth") == 0) & (F.col("seg_end") - F.col("seg_start") >= min_length)).join(length, "reference_id")
+    gaps = with_length(segments.where((F.col("depth") == 0) & (F.col("seg_end") - F.col("seg_start") >= min_length)), segments)
     return gaps.select("reference_id", F.col("seg_start").alias("gap_start"), F.col("seg_end").alias("gap_end"), (F.col("seg_end") - F.col("seg_start")).alias("gap_length"), ((F.col("seg_start") == 0) | (F.col("seg_end") == F.col("len"))).alias("is_terminal"))
 
 
@@ -116,16 +136,23 @@ def depth_curves(segments: DataFrame, most: int | None = None) -> DataFrame:
     whole = Window.partitionBy("reference_id")
     steps = hist.select("reference_id", "depth", F.sum("bases").over(down).alias("n"), F.sum("bases").over(whole).alias("len"), F.coalesce(F.lag("depth").over(up), F.lit(0)).alias("below"), F.max("depth").over(whole).alias("deepest"))
     flat = steps.where("deepest = 0").select("reference_id", F.lit(1).cast("long").alias("depth_threshold"), F.lit(0.0).alias("pct_covered"))
-    filled = steps.where("depth > 0").select("reference_id", F.explode(F.sequence(F.col("below") + 1, F.col("depth"))).alias("depth_threshold"), (F.col("n") / F.col("len") * 100).alias("pct_covered"))
-    curves = filled.unionByName(flat)
-    return curves.where(F.col("depth_threshold") <= most) if most else curves
+    # a deep step is filled in stretches, so that no row holds more than one of them
+    upto = F.least(F.col("depth"), F.lit(most).cast("long")) if most else F.col("depth")
+    stretch = steps.where("depth > 0").withColumn("upto", upto).where(F.col("below") < F.col("upto")).select("reference_id", "upto", (F.col("n") / F.col("len") * 100).alias("pct_covered"), F.explode(F.sequence(F.col("below") + 1, F.col("upto"), F.lit(STRETCH).cast("long"))).alias("low"))
+    filled = stretch.select("reference_id", F.explode(F.sequence(F.col("low"), F.least(F.col("low") + STRETCH - 1, F.col("upto")))).alias("depth_threshold"), "pct_covered")
+    return filled.unionByName(flat)
+
+
+def threshold_coverage(segments: DataFrame, thresholds: Sequence[int]) -> DataFrame:
+    """(reference_id, pct_<t>x, ..): percent of positions at least so deep, at each threshold."""
+    s = segments.withColumn("n", F.col("seg_end") - F.col("seg_start"))
+    return s.groupBy("reference_id").agg(*[_pct(F.col("depth") >= t, F.sum("n")).alias(f"pct_{t}x") for t in thresholds])
 
 
 def low_coverage_regions(segments: DataFrame, min_depth: int, probe_length: int) -> DataFrame:
     """(reference_id, region_start, region_end): runs below min_depth, short ones widened about their centre to a probe's length, and merged where they overlap."""
-    length = segments.groupBy("reference_id").agg(F.max("seg_end").alias("len"))
     low = islands_and_gaps(segments.where(F.col("depth") < min_depth), "reference_id", "seg_start", "seg_end").where("seg_kind = 'period'")
-    runs = low.select("reference_id", F.col("seg_start").alias("s"), F.col("seg_end").alias("e")).join(length, "reference_id")
+    runs = with_length(low.select("reference_id", F.col("seg_start").alias("s"), F.col("seg_end").alias("e")), segments)
     start = F.greatest(F.floor((F.col("s") + F.col("e")) / 2) - F.floor(F.lit(probe_length) / 2), F.lit(0).cast("long"))
     end = F.least(start + probe_length, F.col("len"))
     short = (F.col("e") - F.col("s")) < probe_length
@@ -138,9 +165,8 @@ def low_coverage_regions(segments: DataFrame, min_depth: int, probe_length: int)
 
 def binned_depth(segments: DataFrame, points: int = 200) -> DataFrame:
     """(reference_id, bin, bin_start, bin_end, mean_depth): depth averaged over at most points equal bins of each reference."""
-    length = segments.groupBy("reference_id").agg(F.max("seg_end").alias("len"))
     width = F.greatest(F.ceil(F.col("len") / points), F.lit(1)).cast("long")
-    s = segments.join(length, "reference_id").withColumn("w", width)
+    s = with_length(segments, segments).withColumn("w", width)
     bins = s.withColumn("bin", F.explode(F.sequence(F.floor(F.col("seg_start") / F.col("w")), F.floor((F.col("seg_end") - 1) / F.col("w")))))
     overlap = F.least("seg_end", (F.col("bin") + 1) * F.col("w")) - F.greatest("seg_start", F.col("bin") * F.col("w"))
     return bins.groupBy("reference_id", "bin").agg(F.min(F.col("bin") * F.col("w")).alias("bin_start"), F.max(F.least((F.col("bin") + 1) * F.col("w"), F.col("len"))).alias("bin_end"), (F.sum(F.col("depth") * overlap) / F.sum(overlap)).alias("mean_depth"))
@@ -160,9 +186,15 @@ def overlap_join(left: DataFrame, right: DataFrame, bin_size: int = 1_000) -> Da
     return joined.where((F.col("s") < F.col("r_e")) & (F.col("r_s") < F.col("e")) & (F.col("_bin") == first)).drop("_bin")
 
 
+def covered_periods(segments: DataFrame) -> DataFrame:
+    """(reference_id, s, e): maximal stretches with depth."""
+    merged = islands_and_gaps(segments.where("depth > 0"), "reference_id", "seg_start", "seg_end").where("seg_kind = 'period'")
+    return merged.select("reference_id", F.col("seg_start").alias("s"), F.col("seg_end").alias("e"))
+
+
 def covered_fraction(intervals: DataFrame, segments: DataFrame) -> DataFrame:
     """intervals (reference_id, s, e) with the fraction of each that segments cover."""
-    covered = segments.where("depth > 0").select("reference_id", F.col("seg_start").alias("s"), F.col("seg_end").alias("e"))
+    covered = covered_periods(segments)
     met = overlap_join(intervals.select("reference_id", "s", "e").distinct(), covered)
     part = met.groupBy("reference_id", "s", "e").agg(F.sum(F.least("e", "r_e") - F.greatest("s", "r_s")).alias("bases"))
     return intervals.join(part, ["reference_id", "s", "e"], "left").withColumn("covered_fraction", F.coalesce("bases", F.lit(0)) / (F.col("e") - F.col("s"))).drop("bases")

@@ -78,3 +78,27 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], counts: Da
     spread = spread.drop("_slices", *[f"_h_{c}" for c in on])
     joined = sliced.join(spread, match("_r_", sliced) & (F.col("_slice") == F.col("_slice_r")), "left")
     return joined.drop("_slice", "_slice_r", *[f"_r_{c}" for c in on])
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, per_cell: int = 10_000, most_listed: int = 1_000_000) -> DataFrame:
+    """Inner join of two sides that both may have very many rows of a key.
+
+    A key with more than per_cell rows on a side becomes a grid of cells: each row of that
+    side lies in one slice and meets every slice of the other, so a cell has about per_cell
+    rows of either side at most, and its product is bounded. Above per_cell x most_listed
+    rows the limit rises with the rows, so that no more than most_listed keys of a side are
+    heavy, which bounds the list that is broadcast. Rows with a null key are dropped.
+    """
+    n = lambda df, name: df.where(F.col(on).isNotNull()).groupBy(F.col(on).alias("_on")).agg(F.count(F.lit(1)).alias(name))
+    a, b = n(left, "_a"), n(right, "_b")
+    limit = lambda counts, name: F.greatest(F.lit(float(per_cell)), F.coalesce(counts.agg(F.sum(name)).scalar(), F.lit(0)) / most_listed)
+    cells = lambda counts, name: counts.where(F.col(name) > limit(counts, name)).select("_on", F.ceil(F.col(name) / limit(counts, name)).cast("int").alias(f"{name}_cells"))
+    heavy = cells(a, "_a").join(cells(b, "_b"), "_on", "full").select("_on", *[F.coalesce(f"{c}_cells", F.lit(1)).alias(f"{c}_cells") for c in ("_a", "_b")])
+
+    def placed(df: DataFrame, own: str, other: str) -> DataFrame:
+        met = df.where(F.col(on).isNotNull()).join(F.broadcast(heavy), F.col(on) == F.col("_on"), "left")
+        mine = F.pmod(F.monotonically_increasing_id(), F.coalesce(F.col(f"{own}_cells"), F.lit(1))).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"{other}_cells"), F.lit(1)) - 1))
+        return met.withColumn(f"{own}_slice", mine).withColumn(f"{other}_slice", every).drop("_on", "_a_cells", "_b_cells")
+
+    return placed(left, "_a", "_b").join(placed(right, "_b", "_a"), [on, "_a_slice", "_b_slice"]).drop("_a_slice", "_b_slice")

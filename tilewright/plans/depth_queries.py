@@ -76,8 +76,8 @@ def d13_binned_depth(spark, d):
 
 
 def j13_contributing_probes(spark, d):
-    covered = read_segments(spark, d).where("depth > 0").select("reference_id", F.col("seg_start").alias("s"), F.col("seg_end").alias("e"))
-    return D.overlap_join(probe_spans(spark, d), covered).groupBy("reference_id").agg(F.countDistinct("probe_name").alias("probes_contributing"))
+    met = D.overlap_join(probe_spans(spark, d), D.covered_periods(read_segments(spark, d)))
+    return met.select("reference_id", "probe_name").distinct().groupBy("reference_id").agg(F.count("probe_name").alias("probes_contributing"))
 
 
 def j16_gap_types(spark, d):

@@ -161,9 +161,7 @@ def v10_homology_matrix(spark, d):
 
 
 def v11_key_thresholds(spark, d):
-    curves = D.depth_curves(read_segments(spark, d), most=100)
-    wide = curves.where(F.col("depth_threshold").isin(1, 5, 10, 20, 50, 100)).groupBy("reference_id").pivot("depth_threshold", [1, 5, 10, 20, 50, 100]).agg(F.max("pct_covered"))
-    return wide.select("reference_id", *[F.coalesce(F.col(f"{t}"), F.lit(0.0)).alias(f"pct_{t}x") for t in (1, 5, 10, 20, 50, 100)])
+    return D.threshold_coverage(read_segments(spark, d), (1, 5, 10, 20, 50, 100))
 
 
 def v12_build_steps(spark, d):

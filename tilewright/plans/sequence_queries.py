@@ -201,7 +201,18 @@ def _kmers(size: int, stride: int) -> str:
 _TARGET = "(0.01::DOUBLE * pow(2.0::DOUBLE, 20.0::DOUBLE - ct))"
 _STEPS = [("0", "input", "true"), ("1", "length", "len(seq) >= 50"), ("2", "gc", f"len(seq) >= 50 AND {_GC} BETWEEN 0.35 AND 0.65")]
 
+def _places(source: str) -> str:
+    """Places of the texts in source (aln_id, strand, seq) on documents, with their distance."""
+    return f"""p AS ({source}), pw AS (SELECT DISTINCT seq, i, substr(seq, i, 14) AS w FROM (SELECT seq, unnest(generate_series(1, len(seq) - 13)) AS i FROM p WHERE len(seq) >= 14)),
+tw AS (SELECT doc_id, len(seq) AS t_len, j, substr(seq, j, 14) AS w FROM (SELECT doc_id, seq, unnest(generate_series(1, len(seq) - 13)) AS j FROM {_DOCS} WHERE len(seq) >= 14)),
+m AS (SELECT DISTINCT seq, doc_id, j - i AS start FROM pw JOIN tw USING (w) WHERE j >= i AND j - i + len(seq) <= t_len AND NOT contains(w, 'N')),
+x AS (SELECT m.seq, m.doc_id, start, substr(t.seq, start + 1, len(m.seq)) AS win FROM m JOIN {_DOCS} t ON t.doc_id = m.doc_id),
+y AS (SELECT *, len(list_filter(generate_series(1, len(seq)), lambda i: substr(seq, i, 1) <> substr(win, i, 1) OR substr(seq, i, 1) = 'N')) AS distance FROM x),
+z AS (SELECT aln_id, strand, doc_id, start, distance FROM y JOIN p USING (seq) WHERE distance <= 40)"""
+
+
 ORACLE = {
+    "j12_both_strands": f"WITH {_places(f"SELECT aln_id, '+' AS strand, upper(seq) AS seq FROM {_R} UNION SELECT aln_id, CASE WHEN {_RC} = upper(seq) THEN '+' ELSE '-' END, {_RC} FROM {_R}")} SELECT aln_id AS probe_id, doc_id AS target_id, arg_min(strand, distance * 2 + CASE strand WHEN '+' THEN 0 ELSE 1 END) AS strand, CAST(start AS BIGINT) AS start, CAST(min(distance) AS INTEGER) AS distance FROM z GROUP BY aln_id, doc_id, start",
     "f1_source_id": r"SELECT DISTINCT aln_id, nullif(regexp_extract(qname, '^(\S*)_fragment_', 1), '') AS source_id FROM sam_alignments",
     "f2_reverse_complement": f"SELECT aln_id, {_RC} AS rc FROM {_R}",
     "f3_hamming": f"SELECT aln_id, CAST(len(list_filter(generate_series(1, len(seq)), lambda i: substr(upper(seq), i, 1) <> substr({_RC}, i, 1) OR substr(upper(seq), i, 1) = 'N')) AS INTEGER) AS mismatches FROM {_R}",
