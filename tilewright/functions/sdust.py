@@ -17,6 +17,10 @@ for _k, _c in enumerate("ACGT"):
     _CODE[ord(_c)] = _CODE[ord(_c.lower())] = _k
 
 
+#: Bases of a long sequence that are looked at in one go.
+PIECE = 1_000_000
+
+
 class _Batch:
     """Sequences laid end to end, with a break after each; triplets by the place where they begin."""
 
@@ -56,6 +60,8 @@ def dust_masks(seqs: list[str], threshold: float = 2.0, window: int = 64) -> lis
     triplets less one. It is masked if that exceeds the threshold and no stretch inside it
     scores higher. Letters other than A, C, G, T end a stretch.
     """
+    if any(len(s) > PIECE + window for s in seqs):
+        return _in_pieces(seqs, threshold, window)
     batch = _Batch(seqs)
     edge = np.zeros(batch.size + 3, np.int64)
     best = np.zeros(batch.size)
@@ -75,6 +81,21 @@ def dust_masks(seqs: list[str], threshold: float = 2.0, window: int = 64) -> lis
     return out
 
 
+def _in_pieces(seqs: list[str], threshold: float, window: int) -> list[list[tuple[int, int]]]:
+    """dust_masks of long sequences in pieces, each with a window less one of what follows, so that every stretch lies whole in one."""
+    out = []
+    for s in seqs:
+        spans = sorted((a + k, b + k) for k in range(0, max(1, len(s)), PIECE) for a, b in dust_masks([s[k : k + PIECE + window - 1]], threshold, window)[0])
+        merged: list[tuple[int, int]] = []
+        for a, b in spans:
+            if merged and a <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        out.append(merged)
+    return out
+
+
 def _over_batches(convert, batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Whole batches in pieces of about a million bases, nulls as they are."""
     for batch in batches:
@@ -112,6 +133,9 @@ def masked_fraction(seq: Column | str, threshold: float = 2.0, window: int = 64)
 
 def _window_scores(seqs: list[str], window: int) -> list[np.ndarray]:
     """Score of each window of each sequence, from left to right; one window for a sequence that is shorter."""
+    if any(len(s) > PIECE + window for s in seqs):
+        cut = [[s[k : k + PIECE + window - 1] for k in range(0, max(1, len(s) - window + 1), PIECE)] for s in seqs]
+        return [np.concatenate([_window_scores([p], window)[0] for p in pieces]) for pieces in cut]
     batch = _Batch(seqs)
     triplets = np.minimum(batch.length, window) - 2
     wanted = set((triplets - 1)[triplets > 1].tolist())
@@ -159,3 +183,30 @@ def window_score(seq: Column | str, window: int = 64) -> Column:
             yield batch.astype(float)
 
     return score(col(seq))
+
+
+def window_scores(seq: Column | str, window: int = 64) -> Column:
+    """ARRAY<DOUBLE> of the scores of all of a sequence's windows, from left to right; one for a sequence that is shorter than a window."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from _over_batches(lambda seqs: _window_scores(seqs, window), batches)
+
+    return score(col(seq))
+
+
+def masked_text(seq: Column | str, threshold: float = 2.0, window: int = 64) -> Column:
+    """The sequence with its masked bases in lower case and the others in upper case; null for null."""
+
+    def cover(s: str, spans: list[tuple[int, int]]) -> str:
+        parts, at, s = [], 0, s.upper()
+        for a, b in spans:
+            parts += [s[at:a], s[a:b].lower()]
+            at = b
+        return "".join([*parts, s[at:]])
+
+    @F.pandas_udf(T.StringType())
+    def mask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from _over_batches(lambda seqs: [cover(s, spans) for s, spans in zip(seqs, dust_masks(seqs, threshold, window))], batches)
+
+    return F.when(col(seq).isNotNull(), mask(col(seq)))

@@ -74,17 +74,24 @@ def hamming_n(a: Column | str, b: Column | str) -> Column:
 
 
 def fix_n(seq: Column | str) -> Column:
-    """Each N takes the first of T, A, C, G that differs from its neighbours: the left one as fixed, the right one as it was."""
-    s = col(seq)
-
-    def step(acc: Column, i: Column) -> Column:
-        here, left, right = F.substring(s, i, 1), F.substring(acc, -1, 1), F.substring(s, i + 1, 1)
-        fits = lambda b: (left != b) & (right != b)
-        base = F.when(fits("T"), "T").when(fits("A"), "A").when(fits("C"), "C").when(fits("G"), "G").otherwise("T")
-        return F.concat(acc, F.when(here == "N", base).otherwise(here))
-
-    n = F.length(s)
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(""), step)).otherwise(s)
+    """Each N takes the first of T, A, C, G that differs from its neighbours: the left one as fixed, the right one as it was.
+
+    Inside a run of N only the left neighbour counts, so T and A take turns; a run's last
+    letter is chosen by both. The sequence is split where such runs begin and end.
+    """
+    parts = F.split(col(seq), "(?<=N)(?=[^N])|(?<=[^N])(?=N)")
+
+    def fixed(part: Column, i: Column) -> Column:
+        left, right = F.substring(F.coalesce(F.get(parts, i - 1), F.lit("")), -1, 1), F.substring(F.coalesce(F.get(parts, i + 1), F.lit("")), 1, 1)
+        n = F.length(part) - 1
+        turns = F.when(left == "T", F.repeat(F.lit("AT"), (n / 2).cast("int") + 1)).otherwise(F.repeat(F.lit("TA"), (n / 2).cast("int") + 1))
+        inner = F.substring(turns, F.lit(1), n)
+        before = F.when(n > 0, F.substring(turns, n, F.lit(1))).otherwise(left)
+        fits = lambda b: (before != b) & (right != b)
+        last = F.when(fits("T"), "T").when(fits("A"), "A").otherwise("C")
+        return F.when(F.startswith(part, F.lit("N")), F.concat(inner, last)).otherwise(part)
+
+    return F.array_join(F.transform(parts, fixed), "")
 
 
 def kmer_code(kmer: Column | str) -> Column:

@@ -20,8 +20,9 @@ WEIGHT_UNITS = 1 << 44
 
 def uniform(seed: int, row_id: Column | str, stream: int) -> Column:
     """A number in [0, 1)."""
-    h = F.xxhash64(F.lit(seed), F.lit(stream), F.col(row_id) if isinstance(row_id, str) else row_id)
-    return h.bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    key = F.col(row_id) if isinstance(row_id, str) else row_id
+    digest = F.md5(F.concat(F.lit(f"{seed}|{stream}|"), key.cast("string")))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def normal(seed: int, row_id: Column | str, stream: int) -> Column:

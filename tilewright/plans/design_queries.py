@@ -6,14 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tilewright.functions.labels import combination_label
-from tilewright.functions.thermo import boltzmann_score, delta_g
+from tilewright.functions.thermo import GAS, boltzmann_score, delta_g
 from tilewright.operators import depth as D
 from tilewright.operators import design as G
 from tilewright.operators import detection as N
 from tilewright.operators import sampling as R
 from tilewright.operators.running import running_totals
 from tilewright.plans.depth_queries import _READS, _SPANS, probe_segments, probe_spans, read_segments, references
-from tilewright.plans.panel_queries import _DET, _KNOWN, _groups, a8_confusion_all, alns, detected, hits, refs
+from tilewright.plans.panel_queries import _DET, _KNOWN, _groups, a8_confusion_metrics, alns, detected, hits, refs
 from tilewright.plans.sequence_queries import _R, reads
 from tilewright.tables import table
 
@@ -124,13 +124,12 @@ def v1_flow_links(spark, d):
 
 
 def v2_metric_bars(spark, d):
-    m = N.confusion_metrics(N.group_detail(detected(spark, d).where("reads >= 40"), refs(spark, d)))
-    return m.unpivot([], ["sensitivity", "specificity", "precision", "f1_score"], "metric", "value")
+    return a8_confusion_metrics(spark, d).unpivot([], ["sensitivity", "specificity", "precision", "f1_score"], "metric", "value")
 
 
 def v2_metric_bars_all(spark, d):
-    """v2_metric_bars over all detected references."""
-    return a8_confusion_all(spark, d).unpivot([], ["sensitivity", "specificity", "precision", "f1_score"], "metric", "value")
+    """v2_metric_bars by its earlier name."""
+    return v2_metric_bars(spark, d)
 
 
 def v3_top_groups(spark, d):
@@ -188,13 +187,12 @@ def k6_detected_list(spark, d):
 
 
 def k9_results_json(spark, d):
-    m = N.confusion_metrics(N.group_detail(detected(spark, d).where("reads >= 40"), refs(spark, d)))
-    return m.select(F.to_json(F.struct(F.struct("tp_count", "fn_count", "fp_total", "tn_total").alias("counts"))).alias("document"))
+    return a8_confusion_metrics(spark, d).select(F.to_json(F.struct(F.struct("tp_count", "fn_count", "fp_total", "tn_total").alias("counts"))).alias("document"))
 
 
 def k9_results_json_all(spark, d):
-    """k9_results_json over all detected references."""
-    return a8_confusion_all(spark, d).select(F.to_json(F.struct(F.struct("tp_count", "fn_count", "fp_total", "tn_total").alias("counts"))).alias("document"))
+    """k9_results_json by its earlier name."""
+    return k9_results_json(spark, d)
 
 
 QUERIES = {
@@ -207,12 +205,16 @@ QUERIES = {
 }
 
 
+def _uniform(key: str, stream: int) -> str:
+    return f"CAST('0x' || substr(md5('{SEED}|{stream}|' || {key}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
 def _oracle() -> dict[str, str]:
     from tilewright.plans.depth_queries import ORACLE as depth
     from tilewright.plans.depth_queries import _PROBES, _REFS, _blocks, _segments, sql_primary
     from tilewright.plans.panel_queries import _MAP, _SRC
     from tilewright.plans.panel_queries import ORACLE as panel
-    from tilewright.plans.sequence_queries import _DG
+    from tilewright.plans.sequence_queries import _DG, PAIRED
     from tilewright.plans.sequence_queries import ORACLE as sequence
 
     stats, confusion, steps = depth["a14_probe_coverage_stats"], panel["a8_confusion_metrics"], sequence["a22_fasta_stats"]
@@ -225,7 +227,11 @@ def _oracle() -> dict[str, str]:
     pct = "sum(CASE WHEN depth > 0 THEN seg_end - seg_start ELSE 0 END) / CAST(sum(seg_end - seg_start) AS DOUBLE) * 100"
     bars = lambda sql: f"UNPIVOT (SELECT sensitivity, specificity, precision, f1_score FROM ({sql})) ON sensitivity, specificity, precision, f1_score INTO NAME metric VALUE value"
     document = lambda sql: f"""SELECT '{{"counts":{{"tp_count":' || tp_count || ',"fn_count":' || fn_count || ',"fp_total":' || fp_total || ',"tn_total":' || tn_total || '}}}}' AS document FROM ({sql})"""
+    n_unit = "CAST(greatest(round(1.0::DOUBLE / n * 17592186044416), 1) AS BIGINT)"
     return {
+        "f25_sweep_labels": "SELECT ct, hybridization_temperature, capture_fraction, num_sequences, concat_ws('_', " + ", ".join(rf"'{name}=' || regexp_replace(regexp_replace(printf('%.6f', CAST({c} AS DOUBLE)), '(\.[0-9]*?)0+$', '\1'), '\.$', '')" for name, c in (("ct", "ct"), ("temp", "hybridization_temperature"), ("cf", "capture_fraction"), ("n", "num_sequences"))) + ") AS label FROM (SELECT DISTINCT ct, hybridization_temperature, capture_fraction, num_sequences FROM sweep_summary)",
+        "r2_hit_scores": f"WITH {_WT}, a AS (SELECT DISTINCT ON (aln_id) * FROM sam_alignments WHERE rname <> '*' AND cigar <> '*' AND pos IS NOT NULL AND seq <> '*'), b AS (SELECT a.qname, a.rname, a.pos, a.cigar, weight, q.paired AS seq FROM a JOIN {PAIRED} q USING (aln_id) JOIN w USING (rname) WHERE weight > 0) SELECT qname AS probe_id, rname AS reference_id, greatest(pos - 1, 0) AS s, greatest(pos - 1, 0) + {_LEN} AS e, round(ln(weight * greatest(1.0::DOUBLE, exp(-{_DG} / ({GAS}::DOUBLE * (65.0::DOUBLE + 273.15::DOUBLE))))), 6) AS log_score FROM b",
+        "r6_resampled_reads": f"WITH d AS (SELECT DISTINCT aln_id AS draw_id FROM sam_alignments WHERE aln_id IS NOT NULL), r AS (SELECT aln_id AS read_id, row_number() OVER (ORDER BY aln_id) - 1 AS k, count(*) OVER () AS n FROM {_R}), u AS (SELECT draw_id, CAST(floor({_uniform('draw_id', 20)} * (SELECT max(n * {n_unit}) FROM r)) AS BIGINT) // (SELECT max({n_unit}) FROM r) AS k FROM d) SELECT draw_id, read_id FROM u JOIN r USING (k)",
         "v2_metric_bars_all": bars(panel["a8_confusion_all"]),
         "k9_results_json_all": document(panel["a8_confusion_all"]),
         "r2_simple_hit_scores": f"WITH {_WT}, a AS (SELECT DISTINCT ON (aln_id) * FROM sam_alignments WHERE rname <> '*' AND cigar <> '*' AND pos IS NOT NULL) SELECT qname AS probe_id, rname AS reference_id, greatest(pos - 1, 0) AS s, greatest(pos - 1, 0) + {_LEN} AS e, round(weight, 9) AS score FROM a JOIN w USING (rname) WHERE weight > 0",

@@ -45,8 +45,8 @@ def edges(spark, d):
     return Y.cross_species_edges(similar_pairs(spark, d), owners(spark, d))
 
 
-def detected_targets(spark, d):
-    return detected(spark, d).where("reads >= 3").select(F.col("reference_id").alias("target_id"), "reads")
+def detected_targets(spark, d, min_reads=1):
+    return detected(spark, d).where(F.col("reads") >= min_reads).select(F.col("reference_id").alias("target_id"), "reads")
 
 
 def a1_reads_per_reference(spark, d):
@@ -97,12 +97,13 @@ def a11_group_detail(spark, d):
     return N.group_detail(detected(spark, d), refs(spark, d))
 
 
-def a8_confusion_metrics(spark, d):
-    return N.confusion_metrics(N.group_detail(detected(spark, d).where("reads >= 40"), refs(spark, d)))
+def a8_confusion_all(spark, d):
+    """a8_confusion_metrics by its earlier name."""
+    return a8_confusion_metrics(spark, d)
 
 
-def a8_confusion_all(spark, d, min_reads=1):
-    """a8_confusion_metrics over all detected references, or those with min_reads."""
+def a8_confusion_metrics(spark, d, min_reads=1):
+    """Over all detected references, or those with min_reads."""
     return N.confusion_metrics(N.group_detail(detected(spark, d).where(F.col("reads") >= min_reads), refs(spark, d)))
 
 
@@ -144,26 +145,22 @@ def a21_panel_tiers(spark, d):
     return Y.panel_tiers(Y.discriminability(edges(spark, d), owners(spark, d)))
 
 
-def a29_species_evidence(spark, d):
-    return Y.species_evidence(edges(spark, d), owners(spark, d), detected_targets(spark, d))
-
+def a29_species_evidence(spark, d, min_reads=1):
+    return Y.species_evidence(edges(spark, d), owners(spark, d), detected_targets(spark, d, min_reads))
 
-def g7_species_calls(spark, d):
-    return Y.call_species(edges(spark, d), owners(spark, d), detected_targets(spark, d), min_unique=30)
 
+def g7_species_calls(spark, d, min_reads=1, min_unique=1):
+    return Y.call_species(edges(spark, d), owners(spark, d), detected_targets(spark, d, min_reads), min_unique=min_unique)
 
-def _all_targets(spark, d, min_reads):
-    return detected(spark, d).where(F.col("reads") >= min_reads).select(F.col("reference_id").alias("target_id"), "reads")
 
+def a29_species_evidence_all(spark, d):
+    """a29_species_evidence by its earlier name."""
+    return a29_species_evidence(spark, d)
 
-def a29_species_evidence_all(spark, d, min_reads=1):
-    """a29_species_evidence from all detected targets, or those with min_reads."""
-    return Y.species_evidence(edges(spark, d), owners(spark, d), _all_targets(spark, d, min_reads))
 
-
-def g7_species_calls_all(spark, d, min_reads=1, min_unique=1):
-    """g7_species_calls from all detected targets, with one unique target as the least."""
-    return Y.call_species(edges(spark, d), owners(spark, d), _all_targets(spark, d, min_reads), min_unique=min_unique)
+def g7_species_calls_all(spark, d):
+    """g7_species_calls by its earlier name."""
+    return g7_species_calls(spark, d)
 
 
 def j15_renamed_reads(spark, d):
@@ -255,7 +252,7 @@ _DISC = f"""{_EDGES}, cells AS (SELECT species_id, similar_species AS other_spec
 cnt AS (SELECT species_id, count(*) AS total_targets, count(*) FILTER (target_id NOT IN (SELECT target_id FROM edges)) AS unique_targets FROM own GROUP BY ALL),
 lst AS (SELECT species_id, string_agg(other_species || ':' || n, ',' ORDER BY n DESC, other_species) AS confusable_species FROM cells GROUP BY ALL),
 disc AS (SELECT species_id, total_targets, unique_targets, total_targets - unique_targets AS shared_targets, unique_targets / CAST(total_targets AS DOUBLE) AS discriminability_score, confusable_species FROM cnt LEFT JOIN lst USING (species_id))"""
-_EVID = f"""{_DET}, {_EDGES}, dt AS (SELECT reference_id AS target_id, reads FROM det WHERE reads >= 3), o AS (SELECT own.*, reads, target_id IN (SELECT target_id FROM edges) AS shared FROM own LEFT JOIN dt USING (target_id)),
+_EVID = f"""{_DET}, {_EDGES}, dt AS (SELECT reference_id AS target_id, reads FROM det), o AS (SELECT own.*, reads, target_id IN (SELECT target_id FROM edges) AS shared FROM own LEFT JOIN dt USING (target_id)),
 ev AS (SELECT species_id, count(*) AS total_targets, count(*) FILTER (NOT shared) AS unique_targets, count(*) FILTER (shared) AS shared_targets, count(*) FILTER (NOT shared AND reads IS NOT NULL) AS unique_detected, count(*) FILTER (shared AND reads IS NOT NULL) AS shared_detected,
   count(reads) AS total_detected, CAST(coalesce(sum(reads), 0) AS BIGINT) AS total_reads FROM o GROUP BY ALL)"""
 _HITS = "(SELECT DISTINCT ON (hit_id) * FROM xreact_hits)"
@@ -286,7 +283,7 @@ ORACLE = {
     "j8_mapping_accuracy": f"WITH {_ACC} SELECT count(*) FILTER (same) AS reads_correctly_mapped, count(*) FILTER (NOT same) AS reads_incorrectly_mapped FROM acc",
     "a7_reads_per_group": f"WITH {_DET}, {_KNOWN} SELECT coalesce(group_name, reference_id) AS group_name, CAST(sum(reads) AS BIGINT) AS reads FROM det LEFT JOIN known USING (reference_id) GROUP BY ALL",
     "a11_group_detail": f"WITH {_DET}, {_KNOWN}, {_groups('det')} SELECT * FROM gd",
-    "a8_confusion_metrics": f"""WITH {_DET}, {_KNOWN}, strong AS (SELECT * FROM det WHERE reads >= 40), {_groups('strong')},
+    "a8_confusion_metrics": f"""WITH {_DET}, {_KNOWN}, {_groups('det')},
 c AS (SELECT {_n('TP')} AS tp_count, {_n('FN')} AS fn_count, {_n('FP_target')} AS fp_target_count, {_n('FP_distractor')} AS fp_distractor_count, {_n('TN_target')} AS tn_target_count, {_n('TN_distractor')} AS tn_distractor_count FROM gd),
 t AS (SELECT *, fp_target_count + fp_distractor_count AS fp_total, tn_target_count + tn_distractor_count AS tn_total FROM c),
 r AS (SELECT *, {_rate('tp_count', '(tp_count + fn_count)')} AS sensitivity, {_rate('tn_total', '(tn_total + fp_total)')} AS specificity, {_rate('tp_count', '(tp_count + fp_total)')} AS precision FROM t)
@@ -305,7 +302,7 @@ FROM rws LEFT JOIN gen USING (reference_id) LEFT JOIN cov USING (reference_id)""
     "a20_confusion_cells": f"WITH {_DISC} SELECT * FROM cells",
     "a21_panel_tiers": f"WITH {_DISC} SELECT count(*) FILTER (discriminability_score >= 1) AS fully, count(*) FILTER (discriminability_score > 0 AND discriminability_score < 1) AS partly, count(*) FILTER (discriminability_score = 0) AS not_at_all FROM disc",
     "a29_species_evidence": f"WITH {_EVID} SELECT * FROM ev",
-    "g7_species_calls": f"""WITH {_EVID}, pres AS (SELECT species_id FROM ev WHERE total_detected > 0 AND unique_detected >= 30),
+    "g7_species_calls": f"""WITH {_EVID}, pres AS (SELECT species_id FROM ev WHERE total_detected > 0 AND unique_detected >= 1),
 ex AS (SELECT species_id, count(DISTINCT target_id) AS n, string_agg(DISTINCT similar_species, ',' ORDER BY similar_species) AS explainers FROM edges WHERE target_id IN (SELECT target_id FROM dt) AND similar_species IN (SELECT species_id FROM pres) GROUP BY ALL),
 j AS (SELECT ev.*, explainers, shared_detected - coalesce(n, 0) AS open, species_id IN (SELECT species_id FROM pres) AS present FROM ev LEFT JOIN ex USING (species_id)),
 r AS (SELECT *, CASE WHEN total_detected = 0 THEN 'no_detections' WHEN present THEN 'unique_markers_detected' WHEN unique_targets = 0 AND unique_detected = 0 AND open > 0 THEN 'no_unique_markers' WHEN unique_detected = 0 AND open = 0 THEN 'cross_reactivity_explained' ELSE 'insufficient_unique_evidence' END AS reason FROM j)
@@ -318,19 +315,4 @@ SELECT probe_id, hit_mode, coalesce(h, 0.0) AS max_homology_pct, t AS best_hit,
     "a15_multi_mapping": "SELECT probe_name AS probe_id, count(DISTINCT target) AS num_targets, string_agg(DISTINCT target, ',' ORDER BY target) AS targets FROM probe_alns WHERE target <> '*' GROUP BY probe_name HAVING count(DISTINCT target) > 1",
     "a16_probes_per_target": "SELECT target AS target_id, count(*) AS n_probes FROM (SELECT DISTINCT probe_name, target FROM probe_alns WHERE target <> '*') GROUP BY target",
 }
-
-
-def _without(name: str, *cuts: tuple[str, str]) -> str:
-    sql = ORACLE[name]
-    for cut, instead in cuts:
-        assert cut in sql
-        sql = sql.replace(cut, instead)
-    return sql
-
-
-#: The same SQL without its cuts.
-ORACLE |= {
-    "a8_confusion_all": _without("a8_confusion_metrics", (" WHERE reads >= 40", "")),
-    "a29_species_evidence_all": _without("a29_species_evidence", (" WHERE reads >= 3", "")),
-    "g7_species_calls_all": _without("g7_species_calls", (" WHERE reads >= 3", ""), ("unique_detected >= 30", "unique_detected >= 1")),
-}
+ORACLE |= {f"{name}_all": ORACLE[full] for name, full in (("a8_confusion", "a8_confusion_metrics"), ("a29_species_evidence", "a29_species_evidence"), ("g7_species_calls", "g7_species_calls"))}
