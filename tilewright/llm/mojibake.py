@@ -149,11 +149,14 @@ def restore(text: str, chain: tuple[tuple[str, str], ...]) -> str | None:
     return text
 
 
-def _undo_run(run: str, chain: tuple[tuple[str, str], ...]) -> str | None:
-    """A run of characters restored, or what of it the last reading can have given."""
-    back = restore(run, chain)
+def _undo_run(run: str, chain: tuple[tuple[str, str], ...], whole: bool) -> str | None:
+    """A run of characters restored, unless it is whole and failed so already, or what of it the last reading can have given."""
     known = _chars(chain[-1][1])
-    if back is not None or known.issuperset(run) or known.isdisjoint(run):
+    if known and known.isdisjoint(run):
+        return None
+    full = not known or known.issuperset(run)
+    back = restore(run, chain) if full and not whole else None
+    if back is not None or full:
         return back
     parts = ["".join(g) for _, g in groupby(run, known.__contains__)]
     undone = [restore(p, chain) if p[0] in known else None for p in parts]
@@ -164,11 +167,11 @@ def undo(word: str, chain: tuple[tuple[str, str], ...]) -> str | None:
     """word restored, as a whole or run by run of characters beyond ASCII or of escapes; None if nothing of it can be."""
     if LOST in word:
         return None
-    escaping = chain[0][0] in _ESCAPING
-    back = None if escaping else restore(word, chain)
+    escaping, known = chain[0][0] in _ESCAPING, _chars(chain[-1][1])
+    back = None if escaping or known and not known.issuperset(word) else restore(word, chain)
     if back is None:
         runs = _ESCAPED if escaping else _RUN
-        undone = [(restore if escaping else _undo_run)(p, chain) for p in runs.findall(word)]
+        undone = [restore(p, chain) if escaping else _undo_run(p, chain, p == word) for p in runs.findall(word)]
         if not any(undone):
             return None
         each = iter(undone)
