@@ -25,6 +25,8 @@ WORD_SHARE, PAIR_SHARE = 1 / 250_000, 1 / 500_000
 LEAST, LEAST_IN_LINE = 2.0, -3.0
 #: Ways to undo a word that are so much less likely than the best, as a logarithm, don't count.
 NEAR = 3.0
+#: Words that are judged beforehand and kept with the model.
+MOST_JUDGED = 100_000
 #: Characters of a word that are counted as one.
 PIECE = 200
 
@@ -149,6 +151,23 @@ def restore(text: str, chain: tuple[tuple[str, str], ...]) -> str | None:
     return text
 
 
+@lru_cache(None)
+def _letter_for_letter(chain: tuple[tuple[str, str], ...]) -> dict[int, str] | None:
+    """What each character was, of a chain of one step between one-byte encodings; None for others."""
+    if len(chain) != 1 or not (written := _single(chain[0][0])) or not (read := _single(chain[0][1])):
+        return None
+    return {char: written[0][b] for char, b in read[1].items()}
+
+
+@lru_cache(None)
+def _utf8_read_as(codec: str) -> re.Pattern | None:
+    """What any character beyond ASCII looks like in a one-byte encoding if it was written in UTF-8: a first byte with one that follows."""
+    if not (single := _single(codec)):
+        return None
+    kind = lambda lo, hi: "[" + "".join(re.escape(c) for c in single[0][lo:hi] if c != LOST) + "]"
+    return re.compile(kind(0xC2, 0xF5) + kind(0x80, 0xC0))
+
+
 def _undo_run(run: str, chain: tuple[tuple[str, str], ...], whole: bool) -> str | None:
     """A run of characters restored, unless it is whole and failed so already, or what of it the last reading can have given."""
     known = _chars(chain[-1][1])
@@ -167,6 +186,12 @@ def undo(word: str, chain: tuple[tuple[str, str], ...]) -> str | None:
     """word restored, as a whole or run by run of characters beyond ASCII or of escapes; None if nothing of it can be."""
     if LOST in word:
         return None
+    if (table := _letter_for_letter(chain)) is not None:
+        back = word.translate(table)
+        if LOST not in back and not _CONTROL.search(back):
+            return None if back == word else back
+    if chain[-1][0] == "utf-8" and (sign := _utf8_read_as(chain[-1][1])) and not sign.search(word):
+        return None
     escaping, known = chain[0][0] in _ESCAPING, _chars(chain[-1][1])
     back = None if escaping or known and not known.issuperset(word) else restore(word, chain)
     if back is None:
@@ -348,8 +373,10 @@ def _fit(docs: DataFrame, text: str, in_sample: Column, before: Classifier | Non
     What comes back is bounded by chains x buckets, and by WORD_SHARE and PAIR_SHARE.
     """
     spark = docs.sparkSession
+    first = spark.sparkContext.broadcast(before)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = first.value
         for batch in batches:
             found, sampled = Counter(), Counter()
             for value, is_sampled in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -391,9 +418,34 @@ def _fit(docs: DataFrame, text: str, in_sample: Column, before: Classifier | Non
     pairs = distinct.select("word", "n").mapInArrow(pair_up, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     pairs, pairs_at = write_table(pairs, "pairs")
     usage = Usage(_frequent(distinct, "word", WORD_SHARE, least_docs), _frequent(pairs, "pair", PAIR_SHARE, 1))
+    model = Classifier(log_p[1::2], log_p[0::2], usage, odds, gain)
+    _judge_frequent(model, distinct)
     for path in (at, pairs_at):
         drop_table(spark, path)
-    return Classifier(log_p[1::2], log_p[0::2], usage, odds, gain)
+    return model
+
+
+def _judge_frequent(model: Classifier, distinct: DataFrame) -> None:
+    """Judge the frequent words once on Spark, so that not every worker does: as many of the most frequent as stay below MOST_JUDGED. Any others are judged where they occur."""
+    spark = distinct.sparkSession
+    words = distinct.where(F.length("word") <= PIECE)
+    counts = words.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count(F.lit(1)).alias("words")).toPandas().sort_values("n", ascending=False)  # 65,536 rows at most
+    enough = counts["n"][counts["words"].cumsum() <= MOST_JUDGED]
+    if enough.empty:
+        return
+    shared = spark.sparkContext.broadcast(model)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(0).to_pylist()
+            ways = [shared.value.judge_plain(w) for w in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[g for g, _ in w] for w in ways], pa.list_(pa.float64())), pa.array([[list(like) for _, like in w] for w in ways], pa.list_(pa.list_(pa.int32())))], names=["word", "gains", "likes"])
+
+    frequent = words.where(F.col("n") >= int(enough.iloc[-1])).select("word")
+    spread = frequent.repartition(min(64, 4 * shuffle_width(spark)), F.xxhash64("word"))
+    for row in spread.mapInArrow(judge, "word string, gains array<double>, likes array<array<int>>").toLocalIterator():
+        model.known[row["word"]] = [(g, tuple(like)) for g, like in zip(row["gains"], row["likes"])]
+    shared.unpersist()
 
 
 def _frequent(counts: DataFrame, key: str, share: float, least: float) -> dict[str, float]:
