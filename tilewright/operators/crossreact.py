@@ -36,3 +36,16 @@ def multi_mapping(placements: DataFrame) -> DataFrame:
 def probes_per_target(placements: DataFrame) -> DataFrame:
     """(target_id, n_probes)."""
     return placements.distinct().groupBy("target_id").agg(F.count(F.lit(1)).alias("n_probes"))
+
+
+def hits_from_records(records: DataFrame, hit_mode: str, threshold: float = 0.0) -> DataFrame:
+    """(probe_id, target_id, hit_mode, homology_pct, identity_pct, query_coverage_pct, matching_bases, alignment_length, probe_length) of unified PAF and BLAST records, from threshold on."""
+    named = records.select(F.col("query_name").alias("probe_id"), F.col("target_name").alias("target_id"), F.lit(hit_mode).alias("hit_mode"), "matching_bases", F.col("block_length").alias("alignment_length"), F.col("query_length").alias("probe_length"), (F.col("query_end") - F.col("query_start")).alias("aligned"))
+    covered = F.when(F.col("probe_length") > 0, F.col("aligned") / F.col("probe_length") * 100).otherwise(F.lit(0.0))
+    found = hit_percentages(named, threshold).withColumn("query_coverage_pct", covered)
+    return found.select("probe_id", "target_id", "hit_mode", "homology_pct", "identity_pct", "query_coverage_pct", "matching_bases", "alignment_length", "probe_length")
+
+
+def ordered_hits(hits: DataFrame) -> DataFrame:
+    """Hits in their order for people: by probe and mode, the best first."""
+    return hits.orderBy("probe_id", "hit_mode", F.desc("homology_pct"), "target_id")

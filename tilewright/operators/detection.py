@@ -115,3 +115,118 @@ def detail_rows(detected: DataFrame, refs: DataFrame, generated: DataFrame, cove
     rows = hits.unionByName(absent).join(generated, "reference_id", "left").join(coverage, "reference_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     return rows.select("reference_id", "group_name", F.coalesce("category", F.lit("unknown")).alias("category"), "detected", F.coalesce("fragments", F.lit(0)).cast("long").alias("fragments_generated"), "reads_assigned", "classification", F.coalesce("ref_length", F.lit(0)).cast("long").alias("ref_length"), zero("avg_coverage"), zero("pct_covered_5x"), zero("pct_covered_20x"))
+
+
+def ordered_detail(rows: DataFrame) -> DataFrame:
+    """detail_rows in their order for people: by class, then most reads first."""
+    rank = F.array_position(F.array(*[F.lit(c) for c in CLASS_ORDER]), F.col("classification"))
+    return rows.orderBy(F.when(rank > 0, rank).otherwise(len(CLASS_ORDER) + 1), F.desc("reads_assigned"), "reference_id")
+
+
+def classify_by_genome(names: DataFrame, genomes: DataFrame, links: DataFrame) -> DataFrame:
+    """(qname, fragment_class): what the genome that a fragment stems from is.
+
+    genomes (genome_id, category); links (genome_id, target_id), any number for either. A
+    sample genome without a target is untargeted; an unlisted genome is unknown.
+    """
+    known = genomes.select("genome_id", "category").join(links.select("genome_id").distinct().withColumn("linked", F.lit(1)), "genome_id", "left")
+    kind = F.when((F.col("category") == "sample") & F.col("linked").isNull(), "untargeted").otherwise(F.coalesce("category", F.lit("unknown")))
+    sources = names.select("qname", source_id("qname").alias("genome_id")).where(F.col("genome_id").isNotNull())
+    return sources.join(known, "genome_id", "left").select("qname", kind.alias("fragment_class"))
+
+
+def accuracy_by_genome(mappings: DataFrame, links: DataFrame) -> DataFrame:
+    """One row as mapping_accuracy gives it: a read is right if its genome is linked to the target that it maps to, and wrong if not, also where its genome has no target."""
+    pairs = mappings.select(source_id("qname").alias("genome_id"), F.col("reference_id").alias("target_id")).where(F.col("genome_id").isNotNull()).groupBy("genome_id", "target_id").agg(F.count(F.lit(1)).alias("n"))
+    seen = pairs.join(links.select("genome_id", "target_id").distinct().withColumn("linked", F.lit(1)), ["genome_id", "target_id"], "left")
+    add = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long")
+    return seen.agg(add(F.col("linked").isNotNull()).alias("reads_correctly_mapped"), add(F.col("linked").isNull()).alias("reads_incorrectly_mapped"))
+
+
+def fragments_by_genome(per_source: DataFrame, links: DataFrame, targets: DataFrame) -> DataFrame:
+    """(reference_id, fragments): of each target the sum over its genomes, once per link; without a link its own count.
+
+    per_source (reference_id, fragments); targets (reference_id).
+    """
+    counted = per_source.select(F.col("reference_id").alias("genome_id"), "fragments")
+    linked = links.select("genome_id", F.col("target_id").alias("reference_id")).join(counted, "genome_id", "left").groupBy("reference_id").agg(F.coalesce(F.sum("fragments"), F.lit(0)).alias("linked"))
+    own = per_source.select("reference_id", F.col("fragments").alias("own"))
+    return targets.select("reference_id").join(linked, "reference_id", "left").join(own, "reference_id", "left").select("reference_id", F.coalesce("linked", "own", F.lit(0)).cast("long").alias("fragments"))
+
+
+def sample_targets(genomes: DataFrame, links: DataFrame) -> DataFrame:
+    """(reference_id): targets of any sample genome."""
+    return links.join(genomes.where("category = 'sample'"), "genome_id", "left_semi").select(F.col("target_id").alias("reference_id")).distinct()
+
+
+#: The columns of the results table, in order.
+RESULTS = (
+    "run_name", "timestamp", "num_fragments", "seed", "fragments_generated", "fragments_captured", "capture_rate",
+    "sample_generated", "nonsample_target_generated", "distractor_generated", "untargeted_generated",
+    "sample_captured", "nonsample_target_captured", "distractor_captured", "untargeted_captured",
+    "reads_correctly_mapped", "reads_incorrectly_mapped", "sample_total", "nonsample_target_total", "distractors_total",
+    "tp_count", "fn_count", "fp_target_count", "fp_distractor_count", "fp_total", "tn_target_count", "tn_distractor_count", "tn_total",
+    "sensitivity", "specificity", "precision", "f1_score", "reads_sequenced", "reads_after_filter", "reads_mapped", "reads_unmapped",
+)
+
+
+def _class_counts(names: DataFrame, classes: DataFrame, suffix: str) -> DataFrame:
+    """One row: fragments in all, and of each class; names (qname), classes (qname, fragment_class)."""
+    n = lambda c: F.count(F.when(F.col("fragment_class") == c, 1)).alias(f"{c}_{suffix}")
+    return names.join(classes, "qname", "left").agg(F.count(F.lit(1)).alias(f"fragments_{suffix}"), *[n(c) for c in ("sample", "nonsample_target", "distractor", "untargeted")])
+
+
+def results_row(generated: DataFrame, captured: DataFrame, classes: DataFrame, accuracy: DataFrame, groups: DataFrame, run_name: str, timestamp: str, seed: str, reads_sequenced: DataFrame | None = None, reads_after_filter: DataFrame | None = None) -> DataFrame:
+    """The one row of the results table, RESULTS.
+
+    generated, captured (qname), one row for each fragment; classes (qname, fragment_class);
+    accuracy as mapping_accuracy gives it; groups as group_detail does. Reads go into the
+    mapping after the filter if there was one, else as sequenced, else as captured; what
+    isn't mapped of them is unmapped. The one-row parts meet on a constant.
+    """
+    parts = [_class_counts(generated, classes, "generated"), _class_counts(captured, classes, "captured"), accuracy, confusion_metrics(groups)]
+    for name, df in (("reads_sequenced", reads_sequenced), ("reads_after_filter", reads_after_filter)):
+        if df is not None:
+            parts.append(df.agg(F.count(F.lit(1)).alias(name)))
+    row = parts[0].withColumn("_k", F.lit(1))
+    for part in parts[1:]:
+        row = row.join(F.broadcast(part.withColumn("_k", F.lit(1))), "_k")  # one row
+    none = F.lit(None).cast("long")
+    given = {name: F.col(name) if df is not None else none for name, df in (("reads_sequenced", reads_sequenced), ("reads_after_filter", reads_after_filter))}
+    into = F.coalesce(given["reads_after_filter"], given["reads_sequenced"], F.col("fragments_captured"))
+    mapped = F.col("reads_correctly_mapped") + F.col("reads_incorrectly_mapped")
+    made = {
+        "run_name": F.lit(run_name),
+        "timestamp": F.lit(timestamp),
+        "num_fragments": F.col("fragments_generated"),
+        "seed": F.lit(seed),
+        "capture_rate": F.when(F.col("fragments_generated") > 0, F.col("fragments_captured") / F.col("fragments_generated")).otherwise(F.lit(0.0)),
+        "sample_total": F.col("tp_count") + F.col("fn_count"),
+        "nonsample_target_total": F.col("fp_target_count") + F.col("tn_target_count"),
+        "distractors_total": F.col("fp_distractor_count") + F.col("tn_distractor_count"),
+        "reads_sequenced": F.coalesce(given["reads_sequenced"], F.lit(0).cast("long")),
+        "reads_after_filter": F.coalesce(given["reads_after_filter"], F.lit(0).cast("long")),
+        "reads_mapped": mapped,
+        "reads_unmapped": F.greatest(into - mapped, F.lit(0).cast("long")),
+    }
+    return row.select(*[made.get(c, F.col(c)).alias(c) for c in RESULTS])
+
+
+def results_document(row: DataFrame) -> DataFrame:
+    """(document): the results as one JSON object with a section each for the run, the capture, the reads and the metrics, from the results row."""
+    sections = {"run_info": RESULTS[:4], "capture_stats": RESULTS[4:15], "read_level": (*RESULTS[15:17], *RESULTS[34:36], *RESULTS[32:34]), "metrics": RESULTS[20:32]}
+    return row.select(F.to_json(F.struct(*[F.struct(*columns).alias(name) for name, columns in sections.items()])).alias("document"))
+
+
+def detail_documents(groups: DataFrame, rows: DataFrame, unknown: DataFrame, untargeted: DataFrame) -> DataFrame:
+    """(section, name, document): the details of the results, one line each, so that they may be of any number: group names by class, unknown and untargeted ids, and the detail rows as JSON."""
+    named = {"TP": "true_positives", "FN": "false_negatives", "FP_target": "fp_targets", "FP_distractor": "fp_distractors", "TN_target": "tn_targets", "TN_distractor": "tn_distractors"}
+    section = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])[F.col("classification")]
+    line = lambda df, part, name, doc: df.select(part.alias("section"), F.col(name).alias("name"), doc.alias("document"))
+    none = F.lit(None).cast("string")
+    return (
+        line(groups, section, "group_name", none)
+        .unionByName(line(unknown, F.lit("unknown_detected"), "reference_id", none))
+        .unionByName(line(untargeted, F.lit("untargeted_genomes"), "reference_id", none))
+        .unionByName(line(rows, F.lit("detail_rows"), "reference_id", F.to_json(F.struct(*rows.columns))))
+    )

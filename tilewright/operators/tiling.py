@@ -60,7 +60,7 @@ _CODE = np.full(256, -1, np.int64)
 _CODE[np.frombuffer(b"ACGT", np.uint8)] = range(4)
 
 
-def _chunks(targets: DataFrame, overlap: Column) -> DataFrame:
+def chunked(targets: DataFrame, overlap: Column) -> DataFrame:
     """(target_id, chunk, t_len, text): targets in pieces of CHUNK bases, each with what follows it as far as overlap."""
     rows = targets.where(F.length("seq") > 0).select("target_id", F.upper("seq").alias("seq"), F.length("seq").alias("t_len"))
     cut = rows.select("target_id", "t_len", "seq", F.explode(F.sequence(F.lit(0), F.floor((F.col("t_len") - 1) / CHUNK).cast("int"))).alias("chunk"))
@@ -119,7 +119,7 @@ def seed_matches(probes: DataFrame, targets: DataFrame, seed: int, mismatches: i
         raise ValueError("a seed has 1 to 31 letters")
     texts = probes.select(F.upper("probe").alias("probe")).where(F.length("probe") >= seed).distinct()
     longest = F.coalesce(texts.agg(F.max(F.length("probe"))).scalar(), F.lit(seed))
-    pieces = _chunks(targets, longest)
+    pieces = chunked(targets, longest)
     own = _seeds(texts, "probe", seed)
     theirs = _seeds(pieces.select("target_id", "t_len", "chunk", F.substring("text", 1, CHUNK + seed - 1).alias("text")), "text", seed).drop("text")
     theirs = theirs.select("target_id", "t_len", "word", (F.col("chunk").cast("long") * CHUNK + F.col("at")).alias("t_at"))
