@@ -6,13 +6,14 @@ import codecs
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -257,8 +258,18 @@ class Classifier:
         # a bucket's numbers lie together
         self.garbled, self.meant = np.ascontiguousarray(garbled.T), np.ascontiguousarray(meant.T)
         self.usage, self.odds, self.gain = usage, odds, gain
+        self._sent: Broadcast | None = None
         self.known: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
 
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "known": {}, "_sent": None}
+
+    def sent(self, spark: SparkSession) -> Broadcast:
+        """The model without its judged words, broadcast once."""
+        if self._sent is None:
+            self._sent = spark.sparkContext.broadcast(self)
+        return self._sent
+
     def log_odds(self, word: str) -> np.ndarray:
         """Of each chain, against the word's being meant, in the words that the chain can garble or in all."""
         f = _features(word)
@@ -373,10 +384,10 @@ def _fit(docs: DataFrame, text: str, in_sample: Column, before: Classifier | Non
     What comes back is bounded by chains x buckets, and by WORD_SHARE and PAIR_SHARE.
     """
     spark = docs.sparkSession
-    first = spark.sparkContext.broadcast(before)
+    at_hand = _at_hand(before, spark) if before else None
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = first.value
+        before = at_hand() if at_hand else None
         for batch in batches:
             found, sampled = Counter(), Counter()
             for value, is_sampled in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -433,7 +444,7 @@ def _judge_frequent(model: Classifier, distinct: DataFrame) -> None:
     enough = counts["n"][counts["words"].cumsum() <= MOST_JUDGED]
     if enough.empty:
         return
-    shared = spark.sparkContext.broadcast(model)
+    shared = model.sent(spark)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -443,9 +454,20 @@ def _judge_frequent(model: Classifier, distinct: DataFrame) -> None:
 
     frequent = words.where(F.col("n") >= int(enough.iloc[-1])).select("word")
     spread = frequent.repartition(min(64, 4 * shuffle_width(spark)), F.xxhash64("word"))
-    for row in spread.mapInArrow(judge, "word string, gains array<double>, likes array<array<int>>").toLocalIterator():
+    for row in spread.mapInArrow(judge, "word string, gains array<double>, likes array<array<int>>").collect():  # MOST_JUDGED rows at most
         model.known[row["word"]] = [(g, tuple(like)) for g, like in zip(row["gains"], row["likes"])]
-    shared.unpersist()
+
+
+def _at_hand(model: Classifier, spark: SparkSession) -> Callable[[], Classifier]:
+    """How a task gets the model, with the words judged beforehand."""
+    shared, judged = model.sent(spark), spark.sparkContext.broadcast(model.known)
+
+    def get() -> Classifier:
+        if not shared.value.known:
+            shared.value.known.update(judged.value)
+        return shared.value
+
+    return get
 
 
 def _frequent(counts: DataFrame, key: str, share: float, least: float) -> dict[str, float]:
@@ -502,11 +524,11 @@ def find_garbled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cl
     other columns don't matter; an empty table gives an empty result. Texts are judged
     whole, and nothing is shuffled. Without a classifier one is fitted on docs, once a session.
     """
-    model = docs.sparkSession.sparkContext.broadcast(classifier or _fitted(docs, doc_id, text))
+    at_hand = _at_hand(classifier or _fitted(docs, doc_id, text), docs.sparkSession)
     shape = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("chain", T.StringType()), T.StructField("n_passages", T.LongType()), T.StructField("n_restored", T.LongType()), T.StructField("restored", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judges = model.value
+        judges = at_hand()
         for batch in batches:
             rows: list[tuple] = []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
