@@ -68,6 +68,28 @@ def test_ct(spark):
             S.calibrate_efficiency(*bad)
 
 
+def test_distractor_share():
+    assert S.resolve_distractor_fraction() == 0.9 and S.resolve_distractor_fraction(0.25) == 0.25
+    assert abs(S.resolve_distractor_fraction(ct=25.0) - (1 - 0.01 / 32)) < 1e-12
+    for bad in ({"fraction": 1.5}, {"ct": 2.0}):
+        with pytest.raises(ValueError):
+            S.resolve_distractor_fraction(**bad)
+
+
+def test_long_sequences_are_cut_without_a_trace(monkeypatch, spark):
+    from tilewright.functions import sdust as U
+
+    rng = random.Random(4)
+    s = "".join(rng.choice("ACGT") * rng.randrange(1, 6) if rng.random() < 0.5 else "".join(rng.choice("ACGT") for _ in range(20)) for _ in range(300))
+    whole, scores = U.dust_masks([s, "ACG"]), U._window_scores([s, "ACG"], 64)
+    shown = one(spark, s, U.masked_text("s"))
+    assert shown.upper() == s and [(a, b) for a, b in whole[0] if not shown[a:b].islower()] == [] and sum(c.islower() for c in shown) == sum(b - a for a, b in whole[0])
+    assert one(spark, None, U.masked_text("s")) is None
+    monkeypatch.setattr(U, "PIECE", 200)
+    assert U.dust_masks([s, "ACG"]) == whole and len(whole[0]) > 5
+    assert all((a == b).all() for a, b in zip(U._window_scores([s, "ACG"], 64), scores))
+
+
 def test_dust_against_its_definition():
     def score(s, i, j):
         t = [s[k : k + 3] for k in range(i, j - 2)]

@@ -30,6 +30,49 @@ def test_round_trips(spark, tmp_path):
     assert [r.seq_id for r in kept.collect()] == ["a"]
 
 
+def test_fastq_records_cross_splits(spark, tmp_path):
+    records = [(f"r{i}", "ACGT" * (i % 7 + 1), "@+I#" * (i % 7 + 1)) for i in range(3000)]
+    for name, part in (("a.fq", records[:2000]), ("b.fq", records[2000:])):
+        (tmp_path / name).write_text("".join(f"@{r} x\x0c y\n{s}\n+\n{q}\n" for r, s, q in part) + "\n\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        df = S.read_fastq(spark, str(tmp_path / "*.fq"))
+        assert S.numbered_lines(spark, str(tmp_path / "*.fq")).rdd.getNumPartitions() > 1
+        got = [tuple(r) for r in df.orderBy("file", "ord").select("read_id", "seq", "qual").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == records
+    (tmp_path / "c.fq").write_text("@r1\nACG\n+\nII\n")
+    with pytest.raises(Exception, match="broken FASTQ record 0"):
+        S.read_fastq(spark, str(tmp_path / "c.fq")).collect()
+    none = df.where("false")
+    with pytest.raises(ValueError, match="too thin"):
+        S.demand_reads(none, df, "x")
+    assert S.demand_reads(df, none, "x") is df
+
+
+def test_manifest_and_clusters(spark, tmp_path):
+    (tmp_path / "m.tsv").write_text("# c\nt1\t2.5\nt2\nt1\t3\n")
+    as_map = lambda df: {r.seq_id: r.weight for r in df.collect()}
+    assert as_map(L.resolve_sample(spark, [str(tmp_path / "m.tsv")])) == {"t1": 3.0, "t2": 1.0}
+    assert as_map(L.resolve_sample(spark, ["t1", "2.5", "t2"])) == {"t1": 2.5, "t2": 1.0}
+    (tmp_path / "bad.tsv").write_text("t1\tx\n")
+    with pytest.raises(Exception, match="not a weight"):
+        L.read_manifest(spark, str(tmp_path / "bad.tsv")).collect()
+    (tmp_path / "c.clstr").write_text(">Cluster 0\n0\t120nt, >p1... *\n1\t120nt, >p2... at +/95.00%\n>Cluster 1\n0\t90nt, >p3... *\n>Cluster 2\n0\t90nt, >p4... at +/95.00%\n")
+    assert {r.probe_id: r["size"] for r in L.read_clusters(spark, str(tmp_path / "c.clstr")).collect()} == {"p1": 2, "p3": 1}
+
+
+def test_sorted_lists_and_params(spark, tmp_path):
+    df = spark.createDataFrame([("b", "y"), ("a", "z"), ("b", "x")], "genome_id string, target_id string")
+    K.write_sorted(df, str(tmp_path / "map"), ["genome_id", "target_id"])
+    assert [r.value for r in spark.read.text(str(tmp_path / "map")).collect()] == ["a\tz", "b\tx", "b\ty"]
+    assert K.concatenate(df, df.select("genome_id")).count() == 6
+    K.write_params(spark, str(tmp_path / "p"), [("seed", "--seed", 42), ("threads", "--threads", None), ("fast", "--fast", True)])
+    assert [r.value for r in spark.read.text(str(tmp_path / "p")).collect()] == ["parameter\tflag\tvalue", "seed\t--seed\t42", "threads\t--threads\tnone", "fast\t--fast\ttrue"]
+
+
 def test_sam_paf_blast(spark, tmp_path):
     (tmp_path / "a.sam").write_text("@SQ\tSN:t1\tLN:500\nr1\t16\tt1\t5\t60\t4M\t*\t0\t0\tACGT\tIIII\tNM:i:0\tMD:Z:4\nshort\t0\nr2\tx\t*\ty\t0\t*\t*\t0\t0\tA\tI\n")
     got = [tuple(r)[1:] for r in A.read_sam(spark, str(tmp_path / "a.sam")).orderBy("aln_id").collect()]

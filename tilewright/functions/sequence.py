@@ -119,3 +119,16 @@ def calibrate_efficiency(ct1: float, fraction1: float, ct2: float, fraction2: fl
     if not 0 < efficiency <= 1:
         raise ValueError(f"efficiency {efficiency:.4g} is outside (0, 1]")
     return efficiency
+
+
+def resolve_distractor_fraction(fraction: float | None = None, ct: float | None = None, base_ct: float = 20.0, base_fraction: float = 0.01, efficiency: float = 1.0) -> float:
+    """The share of distractors of a run: from its CT value if there is one, else as given in [0, 1], else 0.9."""
+    if ct is not None:
+        target = base_fraction * (1.0 + efficiency) ** (base_ct - ct)
+        if not 0 < target < 1:
+            raise ValueError(f"a CT of {ct} gives a target share of {target:.4g}, outside (0, 1)")
+        return 1.0 - target
+    share = 0.9 if fraction is None else fraction
+    if not 0 <= share <= 1:
+        raise ValueError("the distractor fraction must lie in [0, 1]")
+    return share

@@ -85,7 +85,7 @@ def _enough(picked: DataFrame, shares: DataFrame, refs: DataFrame, fraction: flo
     ranked = global_rank(picked.withColumn("_g", -F.col("gain")), ["_g", "probe_id"], "order").select("probe_id", "round", "gain", "rank")
     known = refs.where("ref_length > 0").select("reference_id", F.col("ref_length").alias("len")).dropDuplicates(["reference_id"])
     upto = running_totals(shares.join(ranked.select("probe_id", "rank"), "probe_id"), "reference_id", "rank", "bases")
-    first = upto.join(known, "reference_id").where(F.col("total") >= F.col("len") * fraction).groupBy("reference_id").agg(F.min("at").alias("at"))
+    first = upto.join(known, "reference_id").where(F.col("total") >= F.col("len") * fraction).groupBy("reference_id").agg(F.min("rank").alias("at"))
     last = known.join(first, "reference_id", "left").agg(F.when(F.count(F.when(F.col("at").isNull(), 1)) == 0, F.max("at")).alias("at"))
     return ranked.where(F.col("rank") <= F.coalesce(last.scalar(), F.lit((1 << 63) - 1))).select("probe_id", "round", "gain")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,3 +85,31 @@ def link_by_prefix(genomes: DataFrame, targets: DataFrame, explicit: DataFrame)
     parts = F.split("target_id", r"\|")
     prefixes = targets.select("target_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "|"))).alias("genome_id"))
     return explicit.select("genome_id", "target_id").unionByName(prefixes.join(open_genomes, "genome_id").select("genome_id", "target_id").distinct())
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(seq_id, weight) of tab-separated lines, 1 where there is no weight; a later line overrides; a weight that is no number is an error."""
+    f = _lines(spark, path).withColumn("f", F.split("value", "\t"))
+    given = F.trim(F.get("f", F.lit(1)))
+    rows = f.where(_demand(given.isNull() | given.try_cast("double").isNotNull(), "not a weight")).select(F.trim(F.col("f")[0]).alias("seq_id"), F.coalesce(given.try_cast("double"), F.lit(1.0)).alias("weight"), "ord")
+    return rows.groupBy("seq_id").agg(F.max_by("weight", "ord").alias("weight"))
+
+
+def resolve_sample(spark: SparkSession, tokens: list[str]) -> DataFrame:
+    """(seq_id, weight): of a manifest if the only token names a file, else of the tokens themselves, where a later one overrides."""
+    if len(tokens) == 1 and (os.path.isfile(tokens[0]) or "://" in tokens[0]):
+        return read_manifest(spark, tokens[0])
+    return spark.createDataFrame(list(dict(parse_sample_tokens(tokens)).items()), "seq_id string, weight double")
+
+
+def read_clusters(spark: SparkSession, path: str) -> DataFrame:
+    """(probe_id, size) of cluster files: the representative, whose line ends in *, and the number of lines; clusters without one are left out.
+
+    Files are cut into clusters by the reader; a cluster must fit a row.
+    """
+    text = spark.read.option("lineSep", "\n>Cluster").text(path).select("value", F.monotonically_increasing_id().alias("ord"))
+    members = F.filter(F.split(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\r?\n"), lambda x: F.length(F.trim(x)) > 0)
+    chosen = F.get(F.filter(members, lambda x: F.rtrim(x).endswith(" *")), F.lit(0))
+    named = F.regexp_extract(chosen, r", >(.*?)(?:\.\.\.|\s)", 1)
+    found = text.select(F.nullif(named, F.lit("")).alias("probe_id"), F.size(members).cast("long").alias("size"), "ord").where(F.col("probe_id").isNotNull())
+    return found.groupBy("probe_id").agg(F.max_by("size", "ord").alias("size"))

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,30 +25,35 @@ def read_fasta(spark: SparkSession, path: str | list[str], unique: bool = True)
     return last.select("seq_id", "r.header", "r.seq", "r.file", "r.ord")
 
 
-def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(read_id, seq, qual, file, ord): four-line records of FASTQ files; ord counts a file's reads from 0.
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line, value): the lines of text files, counted from 0 in each file.
 
-    A file is read as a stream by one task, as a quality line may begin like a header and
-    only the count of lines tells them apart; large sets come in many files. A record that
-    is cut off, has no + line, or a quality of another length is an error.
+    Lines of a split are numbered where they are read; the splits' line counts, one row
+    each, are summed up in the order of their places in the file. Nothing is sorted.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as splits
+    splits = read.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("first")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return read.join(splits, ["file", "block"]).select("file", (F.col("offset") + F.col("mid") - F.col("first")).alias("line"), "value")
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path_, content in zip(batch["path"], batch["content"]):
-                lines = bytes(content).decode().splitlines()
-                while lines and not lines[-1]:
-                    lines.pop()
-                if len(lines) % 4:
-                    raise ValueError(f"truncated FASTQ record at the end of {path_}")
-                heads, seqs, plus, quals = (lines[k::4] for k in range(4))
-                for n, (h, s, p, q) in enumerate(zip(heads, seqs, plus, quals)):
-                    if not h.startswith("@") or not p.startswith("+") or len(s) != len(q):
-                        raise ValueError(f"broken FASTQ record {n} in {path_}")
-                yield pd.DataFrame({"read_id": [h[1:].split()[0] if h[1:].split() else "" for h in heads], "seq": [s.upper() for s in seqs], "qual": quals, "file": path_, "ord": range(len(heads))})
 
-    return files.mapInPandas(parse, "read_id string, seq string, qual string, file string, ord long")
+def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(read_id, seq, qual, file, ord): four-line records of FASTQ files; ord counts a file's reads from 0.
+
+    A quality line may begin like a header, so only the count of lines tells them apart:
+    lines are numbered over the splits of each file, and every four make a record, on all
+    tasks. A record that is cut off, has no + line, or a quality of another length is an
+    error. Empty lines at the end of a file don't count.
+    """
+    lines = numbered_lines(spark, path)
+    last = lines.where(F.length("value") > 0).groupBy("file").agg(F.max("line").alias("last"))
+    kept = lines.join(last, "file").where(F.col("line") <= F.col("last"))
+    part = lambda k: F.max(F.when(F.col("line") % 4 == k, F.col("value")))
+    records = kept.groupBy("file", F.floor(F.col("line") / 4).alias("ord")).agg(F.count(F.lit(1)).alias("n"), *[part(k).alias(c) for k, c in enumerate(("head", "seq", "plus", "qual"))])
+    sound = F.startswith("head", F.lit("@")) & F.startswith("plus", F.lit("+")) & (F.length("seq") == F.length("qual"))
+    fault = F.when(F.col("n") < 4, F.concat(F.lit("truncated FASTQ record at the end of "), F.col("file"))).when(~sound, F.concat(F.lit("broken FASTQ record "), F.col("ord").cast("string"), F.lit(" in "), F.col("file")))
+    checked = records.where(F.when(fault.isNull(), F.lit(True)).otherwise(F.raise_error(fault).cast("boolean")))
+    return checked.select(F.regexp_extract("head", r"^@\s*(\S*)", 1).alias("read_id"), F.upper("seq").alias("seq"), "qual", "file", "ord")
 
 
 def read_reads(spark: SparkSession, path: str) -> DataFrame:
@@ -60,3 +62,11 @@ def read_reads(spark: SparkSession, path: str) -> DataFrame:
     if first and first[0]["value"].startswith("@"):
         return read_fastq(spark, path)
     return read_fasta(spark, path, unique=False).select(F.col("seq_id").alias("read_id"), "seq", F.lit(None).cast("string").alias("qual"), "file", "ord")
+
+
+def demand_reads(reads: DataFrame, fragments: DataFrame, made_by: str) -> DataFrame:
+    """reads, or an error if there are none: that nothing came out is never a result."""
+    if reads.isEmpty():
+        what = "no fragments went in" if fragments.isEmpty() else "fragments went in, but the coverage asked for is too thin for any read"
+        raise ValueError(f"{made_by} gave no reads: {what}")
+    return reads

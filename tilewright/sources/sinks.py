@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,22 @@ def write_coverage(segments: DataFrame, path: str) -> None:
 def extract_by_ids(records: DataFrame, ids: DataFrame, key: str, keep: bool = True) -> DataFrame:
     """Records whose key is (or, without keep, is not) in ids."""
     return records.join(ids.select(key).distinct(), key, "left_semi" if keep else "left_anti")
+
+
+def write_sorted(df: DataFrame, path: str, by: list[str]) -> None:
+    """Tab-separated without a header, in the order of by over all files: id lists, groups and maps."""
+    df.orderBy(*by).write.csv(path, sep="\t", header=False, quote="", escape="", nullValue="", emptyValue="")
+
+
+def concatenate(*records: DataFrame) -> DataFrame:
+    """The records of several readers under each other; of columns that only some have, the others have nulls."""
+    whole = records[0]
+    for more in records[1:]:
+        whole = whole.unionByName(more, allowMissingColumns=True)
+    return whole
+
+
+def write_params(spark: SparkSession, path: str, params: list[tuple[str, str, object]]) -> None:
+    """(parameter, flag, value) of a run, in the order given; none for what wasn't given, and true or false for switches."""
+    shown = [(name, flag, "none" if v is None else str(v).lower() if isinstance(v, bool) else str(v)) for name, flag, v in params]
+    write_tsv(spark.createDataFrame(shown, "parameter string, flag string, value string").coalesce(1), path)
