@@ -48,7 +48,7 @@ def n_fraction(seq: Column | str) -> Column:
     return _share(F.length(col(seq)) - _count(seq, "ACGTacgt"), F.length(col(seq)))
 
 
-def _letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The letters of all texts laid end to end, in upper case, and the length of each."""
     size = np.array([len(t) if t else 0 for t in texts], np.int64)
     data = np.frombuffer("".join(t for t in texts if t).encode("ascii", "replace"), np.uint8)
@@ -58,7 +58,7 @@ def _letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 @F.pandas_udf(T.IntegerType())
 def _hamming_n(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for one, two in batches:
-        (a, n_a), (b, n_b) = _letters(list(one)), _letters(list(two))
+        (a, n_a), (b, n_b) = letters(list(one)), letters(list(two))
         n = np.minimum(n_a, n_b)
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         x, y = a[np.repeat(np.cumsum(n_a) - n_a, n) + k], b[np.repeat(np.cumsum(n_b) - n_b, n) + k]

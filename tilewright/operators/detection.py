@@ -27,7 +27,17 @@ def read_mappings(alns: DataFrame) -> DataFrame:
 
 def reads_per_reference(alns: DataFrame) -> DataFrame:
     """(reference_id, reads), by the range-split aggregation."""
-    return range_split_aggregate(read_mappings(alns), ["reference_id"], ["qname"], {"reads": F.count(F.lit(1))})
+    return reads_of_mappings(read_mappings(alns))
+
+
+def reads_of_mappings(mappings: DataFrame) -> DataFrame:
+    """(reference_id, reads) of read_mappings."""
+    return range_split_aggregate(mappings, ["reference_id"], ["qname"], {"reads": F.count(F.lit(1))})
+
+
+def fragments_per_source(mappings: DataFrame) -> DataFrame:
+    """(source_id, fragments) of read_mappings; reads without a source in their name don't count."""
+    return mappings.select(source_id("qname").alias("source_id")).where("source_id IS NOT NULL").groupBy("source_id").agg(F.count(F.lit(1)).alias("fragments"))
 
 
 def renamed_reads(names: DataFrame, alns: DataFrame) -> DataFrame:

@@ -89,11 +89,18 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, per_cell: int = 10_0
     rows the limit rises with the rows, so that no more than most_listed keys of a side are
     heavy, which bounds the list that is broadcast. Rows with a null key are dropped.
     """
-    n = lambda df, name: df.where(F.col(on).isNotNull()).groupBy(F.col(on).alias("_on")).agg(F.count(F.lit(1)).alias(name))
-    a, b = n(left, "_a"), n(right, "_b")
-    limit = lambda counts, name: F.greatest(F.lit(float(per_cell)), F.coalesce(counts.agg(F.sum(name)).scalar(), F.lit(0)) / most_listed)
-    cells = lambda counts, name: counts.where(F.col(name) > limit(counts, name)).select("_on", F.ceil(F.col(name) / limit(counts, name)).cast("int").alias(f"{name}_cells"))
-    heavy = cells(a, "_a").join(cells(b, "_b"), "_on", "full").select("_on", *[F.coalesce(f"{c}_cells", F.lit(1)).alias(f"{c}_cells") for c in ("_a", "_b")])
+    total = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    limit = lambda df: F.greatest(F.lit(float(per_cell)), total(df) / most_listed)
+    bucket = F.pmod(F.xxhash64(on), F.lit(1 << 18)).alias("_bucket")
+
+    def cells(df: DataFrame, name: str) -> DataFrame:
+        # a key can be heavy only if its bucket is; so mostly no key is counted
+        full = df.where(F.col(on).isNotNull()).select(F.col(on).alias("_on"), bucket)
+        coarse = full.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumn("_limit", limit(df)).where("_n > _limit").select("_bucket", "_limit")  # 262,144 rows at most
+        counts = full.join(F.broadcast(coarse), "_bucket").groupBy("_on").agg(F.count(F.lit(1)).alias("_n"), F.first("_limit").alias("_limit"))
+        return counts.where("_n > _limit").select("_on", F.ceil(F.col("_n") / F.col("_limit")).cast("int").alias(f"{name}_cells"))
+
+    heavy = cells(left, "_a").join(cells(right, "_b"), "_on", "full").select("_on", *[F.coalesce(f"{c}_cells", F.lit(1)).alias(f"{c}_cells") for c in ("_a", "_b")])
 
     def placed(df: DataFrame, own: str, other: str) -> DataFrame:
         met = df.where(F.col(on).isNotNull()).join(F.broadcast(heavy), F.col(on) == F.col("_on"), "left")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tilewright.functions.sequence import hamming_n, reverse_complement
 from tilewright.operators.skew import spread_join
+from tilewright.scratch import materialize
 
 
 def _starts(length: Column, size: int, stride: int, anchored: bool = True) -> Column:
@@ -68,13 +69,13 @@ def chunked(targets: DataFrame, overlap: Column) -> DataFrame:
 
 
 def _seeds(df: DataFrame, text: str, seed: int, most: int | None = None) -> DataFrame:
-    """df with a row for each seed of text that is all bases: its place, and its letters as a number, two bits each."""
-    shape = T.StructType([*df.schema.fields, T.StructField("at", T.IntegerType()), T.StructField("word", T.LongType())])
+    """df, without text, with a row for each seed of text that is all bases: its place, and its letters as a number, two bits each."""
+    shape = T.StructType([*(f for f in df.schema if f.name != text), T.StructField("at", T.IntegerType()), T.StructField("word", T.LongType())])
     column = df.columns.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(column).to_pylist()
+            texts, rest = batch.column(column).to_pylist(), batch.select([c for c in batch.schema.names if c != text])
             size = np.array([len(t) if t else 0 for t in texts], np.int64)
             start = np.cumsum(size + 1) - size - 1
             base = _CODE[np.frombuffer("".join(f"{t or ''}\n" for t in texts).encode("ascii", "replace"), np.uint8)]
@@ -94,8 +95,8 @@ def _seeds(df: DataFrame, text: str, seed: int, most: int | None = None) -> Data
                 found, row, at = found[near], row[near], at[near]
             for lo in range(0, len(found), 100_000):
                 part = slice(lo, lo + 100_000)
-                taken = batch.take(pa.array(row[part]))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(at[part].astype(np.int32)), pa.array(word[found[part]])], names=[*batch.schema.names, "at", "word"])
+                taken = rest.take(pa.array(row[part]))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(at[part].astype(np.int32)), pa.array(word[found[part]])], names=[*rest.schema.names, "at", "word"])
 
     return df.mapInArrow(cut, shape)
 
@@ -118,17 +119,18 @@ def seed_matches(probes: DataFrame, targets: DataFrame, seed: int, mismatches: i
     if not 0 < seed <= 31:
         raise ValueError("a seed has 1 to 31 letters")
     texts = probes.select(F.upper("probe").alias("probe")).where(F.length("probe") >= seed).distinct()
-    longest = F.coalesce(texts.agg(F.max(F.length("probe"))).scalar(), F.lit(seed))
+    texts = materialize(texts.select("probe", F.length("probe").alias("size"), F.monotonically_increasing_id().alias("text_id")), "texts")
+    longest = F.coalesce(texts.agg(F.max("size")).scalar(), F.lit(seed))
     pieces = chunked(targets, longest)
-    own = _seeds(texts, "probe", seed)
-    theirs = _seeds(pieces.select("target_id", "t_len", "chunk", F.substring("text", 1, CHUNK + seed - 1).alias("text")), "text", seed).drop("text")
-    theirs = theirs.select("target_id", "t_len", "word", (F.col("chunk").cast("long") * CHUNK + F.col("at")).alias("t_at"))
+    own = materialize(_seeds(texts, "probe", seed), "seeds")
+    theirs = _seeds(pieces.select("target_id", "t_len", "chunk", F.substring("text", 1, CHUNK + seed - 1).alias("text")), "text", seed)
+    theirs = materialize(theirs.select("target_id", "t_len", "word", (F.col("chunk").cast("long") * CHUNK + F.col("at")).alias("t_at")), "seeds")
     met = spread_join(own, theirs, "word", per_cell).withColumn("start", F.col("t_at") - F.col("at"))
-    places = met.where((F.col("start") >= 0) & (F.col("start") + F.length("probe") <= F.col("t_len"))).select("probe", "target_id", "start").distinct()
+    places = met.where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("t_len"))).select("text_id", "size", "target_id", "start").distinct()
     there = pieces.select(F.col("target_id"), F.col("chunk"), "text")
     window = places.withColumn("chunk", F.floor(F.col("start") / CHUNK).cast("int")).join(there, ["target_id", "chunk"])
-    window = window.select("probe", "target_id", "start", F.substring(F.col("text"), (F.pmod(F.col("start"), F.lit(CHUNK)) + 1).cast("int"), F.length("probe")).alias("window"))
-    near = window.withColumn("distance", hamming_n("probe", "window")).where(F.col("distance") <= mismatches).drop("window")
+    window = window.select("text_id", "target_id", "start", F.substring(F.col("text"), (F.pmod(F.col("start"), F.lit(CHUNK)) + 1).cast("int"), F.col("size")).alias("window"))
+    near = window.join(texts.select("text_id", "probe"), "text_id").withColumn("distance", hamming_n("probe", "window")).where(F.col("distance") <= mismatches).select("probe", "target_id", "start", "distance")
     return near.join(probes.select("probe_id", F.upper("probe").alias("probe")), "probe").select("probe_id", "target_id", "start", "distance")
 
 

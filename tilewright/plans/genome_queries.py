@@ -11,6 +11,7 @@ from tilewright.operators import design as G
 from tilewright.operators import detection as N
 from tilewright.operators import similarity as Y
 from tilewright.operators import tiling
+from tilewright.operators.minhash import near_duplicates
 from tilewright.operators.rejects import parse_hit_lines, valid_records
 from tilewright.operators.running import global_rank
 from tilewright.plans import corpus_queries, depth_queries, design_queries, panel_queries, sequence_queries
@@ -121,6 +122,11 @@ def d11_gap_dust(spark, d):
     return gaps.select("target_id", "gap_start", F.round(masked_fraction("gap_sequence"), 9).alias("dust_score"))
 
 
+def g1_near_duplicate_reads(spark, d):
+    """Every read with the kept one that it is a near copy of."""
+    return near_duplicates(sequence_queries.reads(spark, d), "aln_id", "seq", 0.8)
+
+
 def v8_gap_order(spark, d):
     typed = depth_queries.j16_gap_types(spark, d).select("reference_id", "gap_start", "gap_end", "gap_type", F.when(F.col("gap_type") == "true_gap", 0).otherwise(1).alias("k"), (F.col("gap_start") - F.col("gap_end")).alias("shorter"))
     return global_rank(typed, ["k", "shorter", "reference_id", "gap_start"], "gaps").select((F.col("rank") + 1).alias("place"), "reference_id", "gap_start", "gap_end", "gap_type")
@@ -168,7 +174,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         *(j7_sample_targets, j8_accuracy_by_genome, j9_fragments_by_genome, a6_class_by_genome, j11_edges_of_shared_targets, a19_discriminability_shared, g7_calls_of_shared_targets, a17_hits_from_lines),
-        *(f29_covered_spans, d11_gap_details, d11_gap_dust, v8_gap_order, v13_refine_long, v14_target_composition, a27_ranked_centroids, k7_results, k9_document, k9_details),
+        *(g1_near_duplicate_reads, f29_covered_spans, d11_gap_details, d11_gap_dust, v8_gap_order, v13_refine_long, v14_target_composition, a27_ranked_centroids, k7_results, k9_document, k9_details),
     )
 }
 

@@ -10,6 +10,7 @@ from tilewright.operators import depth as D
 from tilewright.operators import detection as N
 from tilewright.operators import similarity as Y
 from tilewright.plans.depth_queries import _READS, _share, read_segments
+from tilewright.scratch import materialize
 from tilewright.tables import table
 
 _N = "(seg_end - seg_start)"
@@ -24,7 +25,8 @@ def alns(spark, d):
 
 
 def detected(spark, d):
-    return N.reads_per_reference(alns(spark, d))
+    """Written once, a row for each reference, as most queries read it more than once."""
+    return materialize(N.reads_per_reference(alns(spark, d)), "detected")
 
 
 def owners(spark, d):
@@ -72,7 +74,7 @@ def j4_reads_on_sample_targets(spark, d):
 
 
 def a4_count_per_source(spark, d):
-    return N.read_mappings(alns(spark, d)).select(source_id("qname").alias("source_id")).where("source_id IS NOT NULL").groupBy("source_id").agg(F.count(F.lit(1)).alias("fragments"))
+    return N.fragments_per_source(N.read_mappings(alns(spark, d)))
 
 
 def a5_category_counts(spark, d):
@@ -113,8 +115,9 @@ def a9_unknown_detected(spark, d):
 
 
 def a10_detail_rows(spark, d):
-    generated = a4_count_per_source(spark, d).withColumnRenamed("source_id", "reference_id")
-    return N.detail_rows(detected(spark, d), refs(spark, d), generated, D.coverage_stats(read_segments(spark, d)))
+    mappings = materialize(N.read_mappings(alns(spark, d)), "mappings")
+    found = materialize(N.reads_of_mappings(mappings), "detected")
+    return N.detail_rows(found, refs(spark, d), N.fragments_per_source(mappings).withColumnRenamed("source_id", "reference_id"), D.coverage_stats(read_segments(spark, d)))
 
 
 def a12_flow_counts(spark, d):
